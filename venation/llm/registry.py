@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ._shared import table
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -15,5 +21,5 @@ def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op9_pattern_packing": op9_pattern_packing}
+QUERIES = {"op3_minhash_dedup": op3_minhash_dedup, "op9_pattern_packing": op9_pattern_packing}
 SQL: dict[str, str] = {}
