@@ -3,13 +3,16 @@
 1. One pass over the texts makes each document's set of word shingles (hashed to 64 bits), a 128-bit digest of the set and
    MINIMA minima, each under its own multiply-shift universal hash.
 2. Documents of equal sets are one class, held by its smallest id. Only classes go on, so copies cost one row each.
-3. Minima are cut into bands of ROWS. In each band's bucket every class is paired with the bucket's smallest and largest
-   class: pairs grow with the members of a bucket, not with their square.
+3. Minima are cut into bands of ROWS. In each band's bucket every class is paired with the bucket's first class and with
+   its most central one, whose buckets are the fullest: pairs grow with the members of a bucket, not with their square.
 4. A pair goes on if its signatures agree in at least `floor` of the minima (the threshold less five standard deviations),
    and is a link if the shingle sets themselves reach the threshold.
 5. Components by alternating large-star and small-star.
-6. What step 3 left out are pairs of one bucket that neither is linked to the other's component. Those pairs, and only
-   those, are formed and verified, and components are taken once more. So no link of a bucket is lost.
+6. What step 3 left out are links between classes of one bucket that are in different components. Classes of such buckets
+   are joined by their rarest shingles: two sets can reach the threshold only if they share one of the first
+   n - t + 1 in order of rarity, t being the overlap that their sizes call for. Copies that each changed more than that
+   share none, so the join stays small where a bucket is large. Pairs found are verified as in step 4, and components
+   are taken once more. So no link of a bucket is lost.
 
 At the threshold of 0.8 a pair misses all 40 bands of 5 with probability (1 - 0.8**5)**40 = 1.2e-7.
 """
@@ -19,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._shared import forget, ship, written
@@ -83,19 +87,19 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
-    """(key, id, size): a row for each band of each class."""
+    """(key, id): a row for each band of each class."""
     ship(classes.sparkSession)
 
     def of(batches):
         salt = mix(np.arange(1, BANDS + 1, dtype=U))
         for batch in batches:
-            flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, BANDS, ROWS).astype(U)
+            flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, BANDS, ROWS).astype(U)
             key = np.broadcast_to(salt, flat.shape[:2]).copy()
             for i in range(ROWS):
                 key = mix(key ^ flat[:, :, i])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), *(pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), BANDS)) for i in (0, 1))], ["key", "id", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "id"])
 
-    return classes.select("id", "size", "minima").mapInArrow(of, "key long, id long, size long")
+    return classes.select("id", "minima").mapInArrow(of, "key long, id long")
 
 
 def alike(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
@@ -149,15 +153,46 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("doc_id")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    sets = written(packed_sets(texts, k), "sets")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes, docs)
+    sets = written(packed_sets(texts, k).dropDuplicates(["id"]), "sets")
     both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
     out = written(both.select("a", "b", "x", "y").mapInArrow(of, "a long, b long"), "links")
     forget(sets)
     return out
 
 
+def texts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """One text at least of each class in ids."""
+    wanted = classes.join(ids, "id", "left_semi").select("doc_id")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def by_rare_shingles(mixed: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components that can reach the threshold, by their rarest shingles."""
+
+    def of(batches):
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = np.frombuffer(x.as_buffer(), U)
+                for lo in range(0, len(found), 1 << 16):
+                    part = found[lo : lo + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i, np.int64)), pa.array(part.view(np.int64)), pa.array(np.full(len(part), len(found), np.int64))], ["id", "shingle", "n"])
+
+    sets = packed_sets(texts_of(mixed, classes, docs), k).dropDuplicates(["id"])
+    every = written(sets.mapInArrow(of, "id long, shingle long, n long").join(mixed, "id"), "shingles")
+    often = every.groupBy("shingle").agg(F.count("*").alias("df"))
+    place = F.row_number().over(W.partitionBy("id").orderBy("df", "shingle")) - 1
+    ranked = every.join(often, "shingle").withColumn("place", place).where(f"df > 1 and place <= n - n * {percent} / 100")
+    ranked = written(ranked.select("id", "shingle", "n", "component", "place"), "ranked")
+    x, y = (ranked.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component", "place"))) for s in "ab")
+    # the overlap t is percent / (100 + percent) of both sizes; a shared shingle must stand among the first n - t + 1 of both
+    spare = lambda s: (F.col(f"n_{s}") - F.col(f"place_{s}")) * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
+    found = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & spare("a") & spare("b"))
+    out = written(found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "left")
+    forget(every, ranked)
+    return out
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest doc_id it is linked with, over any number of links), kept.
 
@@ -169,26 +204,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     signed = written(signatures(docs, k), "signatures")
     whole = signed.where("minima is not null and doc_id is not null")
     # documents of one set, by its digest: smallest id, and the signature
-    classes = written(whole.groupBy("hi", "lo").agg(F.min_by(F.struct("doc_id", "n_shingles", "minima"), "doc_id").alias("r")).select(F.col("lo").alias("id"), "r.doc_id", F.col("r.n_shingles").alias("size"), "r.minima"), "classes")
+    classes = written(whole.groupBy("hi", "lo").agg(F.min_by(F.struct("doc_id", "minima"), "doc_id").alias("r")).select(F.col("lo").alias("id"), "r.doc_id", "r.minima"), "classes")
     keys = written(band_keys(classes), "bands")
-    buckets = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    stars = keys.join(buckets, "key").select("id", F.explode(F.array("low", "high")).alias("end")).where("id <> end")
+    shared = written(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "shared")
+    centred = shared.join(shared.groupBy("id").agg(F.sum("n").alias("weight")), "id")
+    buckets = centred.groupBy("key").agg(F.min("id").alias("low"), F.max(F.struct("weight", "id"))["id"].alias("centre"))
+    stars = shared.join(buckets, "key").select("id", F.explode(F.array("low", "centre")).alias("end")).where("id <> end")
     pairs = stars.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct()
+    forget(keys)
     floor = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / MINIMA) ** 0.5
     near = written(alike(pairs, classes, floor), "alike")
     links = confirmed(near, classes, docs, k, percent)
     found = written(components(links), "components")
-    # what the stars left out: pairs of a bucket whose components differ
-    placed = keys.join(found, keys["id"] == found["node"], "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
+    # what the stars left out: links within a bucket of classes whose components differ
+    placed = shared.join(found, shared["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    mixed = written(placed.join(mixed, "key", "left_semi"), "mixed")
-    x, y = (mixed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "component"))) for s in "ab")
-    cross = x.join(y, (x["key"] == y["key"]) & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")))
-    left = cross.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    more = written(alike(left, classes, floor), "alike").join(near, ["a", "b"], "left_anti")
+    mixed = written(placed.join(mixed, "key", "left_semi").select("id", "component").distinct(), "mixed")
+    left = by_rare_shingles(mixed, classes, docs, k, percent)
+    more = written(alike(left.join(near, ["a", "b"], "left_anti"), classes, floor), "alike")
     late = confirmed(more, classes, docs, k, percent)
     if late.limit(1).count():
         found = written(components(links.unionByName(late)), "components")
+    forget(shared, near, links, mixed, left, more, late)
     classed = classes.join(found, classes["id"] == found["node"], "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
     least = classed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = classed.join(least, "component").select(F.col("id").alias("lo"), "component_id")
