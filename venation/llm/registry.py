@@ -7,12 +7,36 @@ from pyspark.sql import DataFrame, SparkSession
 from ._shared import table
 
 
+def op2_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op4_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .classifier import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hashing_search import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op7_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -21,5 +45,11 @@ def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op3_minhash_dedup": op3_minhash_dedup, "op9_pattern_packing": op9_pattern_packing}
+def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .automaton import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_perplexity, op3_minhash_dedup, op4_positive_unlabelled, op5_multi_index_hashing, op7_text_density, op9_pattern_packing, op10_backoff_automaton)}
 SQL: dict[str, str] = {}
