@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ._shared import fold, ship, written
 from ._text import U, hashes, mix, pack, runs, spans, unpack, utf8
 
-BLOCK = 8 << 20
+BLOCK = 6 << 20
 BUCKET_BYTES = 4 << 20  # text whose words and pairs share a bucket, about
 MIXES = np.array([0.0, 0.001, 0.003, 0.01, 0.03, 0.06, 0.1, 0.2, 0.3, 0.45, 0.6, 0.75, 0.9])
 END = U(0x5EED0E0D0FFACADE)  # the end token's hash
