@@ -19,6 +19,7 @@ from ..operators import kernels as K
 from ..operators import raster as R
 from ..operators import relational as L
 from ..sources import png
+from .workers import with_package
 
 PICTURE = "path string, height int, width int, channels int, data binary"
 
@@ -40,7 +41,7 @@ def _mapped(pictures: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataF
                     got = (row.path, row.height, row.width, row.channels, None, "error", str(e))
                 yield pd.DataFrame([got], columns=["path", "height", "width", "channels", "data", "status", "reason"])
 
-    return pictures.mapInPandas(of, PICTURE + ", status string, reason string")
+    return with_package(pictures).mapInPandas(of, PICTURE + ", status string, reason string")
 
 
 def ingest(pictures: DataFrame, resolution: int = 1920) -> DataFrame:
@@ -64,7 +65,7 @@ def runs_of_masks(masks: DataFrame) -> DataFrame:
                 (y, x0), (_, x1) = np.nonzero(change == 1), np.nonzero(change == -1)
                 yield pd.DataFrame({"image_id": np.full(len(y), row.image_id), "y": y.astype(np.int32), "x0": x0.astype(np.int32), "x1": (x1 - 1).astype(np.int32)})
 
-    return masks.mapInPandas(of, "image_id long, y int, x0 int, x1 int")
+    return with_package(masks).mapInPandas(of, "image_id long, y int, x0 int, x1 int")
 
 
 def measure(runs: DataFrame, photos: DataFrame, min_area: int = 1) -> DataFrame:
@@ -106,10 +107,10 @@ def contours_of(pictures: DataFrame, level: float) -> DataFrame:
                     out.append((image, i, len(kept), K.polygon_area(kept), round(K.perimeter(kept), 9)))
             yield pd.DataFrame(out, columns=["image_id", "idx", "n_points", "area", "perimeter"])
 
-    return pictures.mapInPandas(of, "image_id long, idx int, n_points int, area double, perimeter double")
+    return with_package(pictures).mapInPandas(of, "image_id long, idx int, n_points int, area double, perimeter double")
 
 
 def encoded(pictures: DataFrame) -> DataFrame:
     """(path, png) of pictures of 1, 3 or 4 channels."""
     to_png = F.udf(lambda h, w, c, data: png.encode(np.frombuffer(data, np.uint8).reshape(h, w, c)), "binary", useArrow=True)
-    return pictures.select("path", to_png("height", "width", "channels", "data").alias("png"))
+    return with_package(pictures).select("path", to_png("height", "width", "channels", "data").alias("png"))

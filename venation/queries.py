@@ -141,8 +141,8 @@ def masked_mean_normalize(spark, d):
     return out.select("image_id", F.round("mean", 9).alias("mean_v"), F.round(F.try_divide("s", "mean"), 6).alias("total"))
 
 
-@query("""with e as (select vec_id, list_transform(embedding, x -> x::double) as a from embeddings), n as (select vec_id, a, sqrt(list_sum(list_transform(a, x -> x * x))) as len from e)
-select vec_id, round(len, 9) as length, round(list_min(list_transform(a, x -> greatest(least(x / greatest(len, 1e-12::double), 1.0::double), -1.0::double))), 9) as lowest, round(list_max(list_transform(a, x -> greatest(least(x / greatest(len, 1e-12::double), 1.0::double), -1.0::double))), 9) as highest from n""")
+@query("""with e as (select vec_id, list_transform(embedding, lambda x: x::double) as a from embeddings), n as (select vec_id, a, sqrt(list_sum(list_transform(a, lambda x: x * x))) as len from e)
+select vec_id, round(len, 9) as length, round(list_min(list_transform(a, lambda x: greatest(least(x / greatest(len, 1e-12::double), 1.0::double), -1.0::double))), 9) as lowest, round(list_max(list_transform(a, lambda x: greatest(least(x / greatest(len, 1e-12::double), 1.0::double), -1.0::double))), 9) as highest from n""")
 def unit_normalize_clip(spark, d):
     a = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
     u = C.clipped(C.unit(F.col("a")))
@@ -313,13 +313,15 @@ def difference(spark, d):
     return orders.where("o_orderstatus = 'F'").select("o_orderkey").exceptAll(orders.where("o_orderpriority = '1-URGENT'").select("o_orderkey"))
 
 
-@query("""select o_orderkey, '{"leaf_count":' || count(*) || ',"leaves":{' || string_agg('"leaf_' || l_linenumber || '":{"part":' || l_partkey || ',"flag":"' || l_returnflag || '","size":[' || l_linenumber || ',' || l_suppkey || ']}', ',' order by l_linenumber) || '},"object_name":"o' || o_orderkey || '"}' as json
-from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey""")
+@query("""with l as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_returnflag) as r from lineitem)
+select o_orderkey, '{"leaf_count":' || count(*) || ',"leaves":{' || string_agg('"leaf_' || r || '":{"part":' || l_partkey || ',"flag":"' || l_returnflag || '","size":[' || l_linenumber || ',' || l_suppkey || ']}', ',' order by r) || '},"object_name":"o' || o_orderkey || '"}' as json
+from orders join l on l_orderkey = o_orderkey group by o_orderkey""")
 def nested_leaf_record(spark, d):
     lines = table(spark, d, "lineitem")
     leaf = F.struct(F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag"), F.array(F.col("l_linenumber").cast("long"), "l_suppkey").alias("size"))
-    entry = F.struct("l_linenumber", F.struct(F.concat(F.lit("leaf_"), "l_linenumber").alias("key"), leaf.alias("value")).alias("e"))
-    by = lines.groupBy("l_orderkey").agg(F.count("*").alias("leaf_count"), F.map_from_entries(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"])).alias("leaves"))
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", leaf.alias("value"))
+    entry = F.transform(F.array_sort(F.collect_list(row)), lambda x, i: F.struct(F.concat(F.lit("leaf_"), i + 1).alias("key"), x["value"].alias("value")))
+    by = lines.groupBy("l_orderkey").agg(F.count("*").alias("leaf_count"), F.map_from_entries(entry).alias("leaves"))
     joined = table(spark, d, "orders").join(by, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select("o_orderkey", F.to_json(F.struct("leaf_count", "leaves", F.concat(F.lit("o"), "o_orderkey").alias("object_name")), {"ignoreNullFields": "false"}).alias("json"))
 
