@@ -43,6 +43,10 @@ SPELLINGS = [("acknowledgement", "acknowledgment"), ("analyse", "analyze"), ("ar
 COPYRIGHT, PUNCTUATION = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*", r"[^a-z0-9]+"
 
 
+#: Known digests up to which the table is broadcast: some 100 bytes each.
+MOST = 10_000
+
+
 def canonical(text: Column) -> Column:
     out = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     out = F.regexp_replace(out, COPYRIGHT, "\n")
@@ -92,8 +96,10 @@ def scan(docs: DataFrame, licences: DataFrame) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     licences = licences.where(F.col("digest") != F.sha2(F.lit("").cast("binary"), 256))
-    whole = own.select("doc_id", digest(F.col("text")).alias("digest"), F.sha2(F.col("text").cast("binary"), 256).alias("row"))
-    lines = own.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("row"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+    if licences.limit(MOST + 1).count() <= MOST:  # else Spark joins it as it sees fit
+        licences = F.broadcast(licences)
+    whole = own.select("doc_id", digest(F.col("text")).alias("digest"), F.xxhash64("text").alias("row"))
+    lines = own.select("doc_id", F.xxhash64("text").alias("row"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     hits = lines.select("doc_id", "row", digest(F.col("line")).alias("digest")).join(licences, "digest")
     notices = hits.groupBy("doc_id", "row").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"))
     found = whole.join(licences, "digest", "left")
