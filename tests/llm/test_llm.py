@@ -171,3 +171,63 @@ def test_licence_spellings(spark):
     rows = [(1, text, 0), (2, "Prose.\nThis work is licenced under the MIT Licence!", 0), (3, None, 0)]
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, digest int"), licenses.known(spark)).collect()}
     assert got[1]["licence"] == "MIT" and got[2]["licence"] is None and got[2]["notices"] == "MIT-notice" and got[3]["notices"] == ""
+
+
+def test_odd_calls(spark):
+    turns = spark.createDataFrame([(1, 0, "user", None, 1), (1, 1, "assistant", "", 1), (1, 2, "user", "x " * 50000, 1), (1, 2, "user", "x " * 50000, 1), (1, None, "user", "t", 1), (None, 0, "user", "t", 1), (2, 0, None, "t", 1)], "conv_id long, turn long, role string, text string, level int")
+    rows = chat.linked_calls(*chat.calls_of(turns), chat.SCHEMAS).collect()
+    assert sorted((r["conv_id"], r["turn"], r["level"], r["status"]) for r in rows) == [(1, 0, 0, "ok"), (1, 2, 1, "unanswered")]
+    assert chat.linked_calls(*chat.calls_of(turns.limit(0)), chat.SCHEMAS).count() == 0
+
+
+def test_odd_vectors(spark):
+    nan = float("nan")
+    good = [(i, [float(i % 7), 1.0, float(i % 5), -1.0]) for i in range(0, 60)]
+    bad = [(100, None), (150, [0.0] * 4), (200, [nan, 1.0, 1.0, 1.0]), (250, [None, 1.0, 1.0, 1.0]), (None, [1.0] * 4)]
+    vectors = spark.createDataFrame([(i, v, 0) for i, v in good + bad], "vec_id long, embedding array<float>, rank int")
+    got = hashing_search.nearest(vectors).orderBy("query_id", "rank").collect()
+    assert {r["query_id"] for r in got} == {0, 50} and {r["vec_id"] for r in got} <= set(range(60))
+    assert all(sum(r["query_id"] == q for r in got) == 5 for q in (0, 50))
+    for a, b in zip(got, got[1:]):  # nearest first, ties to the smaller id
+        assert a["query_id"] != b["query_id"] or (-a["score"], a["vec_id"]) < (-b["score"], b["vec_id"])
+    assert hashing_search.nearest(vectors.limit(0)).count() == 0
+
+
+def test_odd_pages(spark):
+    rows = [(1, "u", None, 0), (2, None, "", 0), (None, "u", "<p>" * 3000 + "deep", 0), (3, "u", "a &lt; b &#233;", 0), (3, "u", "a &lt; b &#233;", 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = [(r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()]
+    assert len(got) == 5 and got.count((3, "a < b é", 7)) == 2 and (1, "", 0) in got and (2, "", 0) in got
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_pipeline_against_plain_versions(spark):
+    import corpus_pipeline as pipeline
+
+    docs, kept = table(spark, SMALL, "documents"), {}
+    now = docs
+    for name, stage in pipeline.STAGES[:-1]:
+        now = stage(spark, now, SMALL)
+        assert now.columns == docs.columns
+        now = spark.createDataFrame(now.collect(), docs.schema)
+        kept[name] = {r["doc_id"]: r["text"] for r in now.collect()}
+    scores = {r["doc_id"]: r["predicted"] for r in registry.QUERIES["op4_positive_unlabelled"](spark, SMALL).collect()}
+    assert set(kept["classifier"]) == {i for i, p in scores.items() if p}
+    for text in kept["rules"].values():
+        w = words(text)
+        windows = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        assert len(w) >= 20 and 100 * len({k + j for k in range(len(w) - 7) if windows[tuple(w[k : k + 8])] > 1 for j in range(8)}) <= 30 * len(w)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, words(lower(t))) for i, t in kept["rules"].items())}
+    least = {i: i for i in sets}
+    links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for _ in sets:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    assert set(kept["dedup"]) == {i for i in sets if least[i] == i}
+    packed = pipeline.run(spark, SMALL).collect()
+    assert {r["doc_id"] for r in packed} == set(kept["dedup"])
+    used = {}
+    for r in packed:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for v in used.values():
+        assert [o for o, _ in sorted(v)] == np.cumsum([0] + [x for _, x in sorted(v)])[:-1].tolist() and sum(x for _, x in v) <= 2048
