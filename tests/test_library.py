@@ -1,3 +1,4 @@
+import json
 import struct
 
 import numpy as np
@@ -7,7 +8,9 @@ from pyspark.sql import functions as F
 from venation.functions import columns as C
 from venation.operators import kernels as K
 from venation.operators import raster as R
+from venation.plans import stages
 from venation.sources import catalog, png
+from venation.streaming import ingest
 
 
 def test_fit_sizes():
@@ -77,3 +80,39 @@ def test_folders_lists_empty_ones(spark, tmp_path):
     for n in ("b", "a"):
         (tmp_path / n).mkdir()
     assert [r["object_name"] for r in catalog.folders(spark, str(tmp_path)).orderBy("object_name").collect()] == ["a", "b"]
+
+
+def test_files_to_measurements(spark, tmp_path):
+    folder = tmp_path / "object" / "compressed"
+    folder.mkdir(parents=True)
+    image = np.full((40, 60, 3), 255, np.uint8)
+    image[5:15, 10:40] = 0
+    image[25:35, 5:25] = 0
+    (folder / "a.png").write_bytes(png.encode(image))
+    (folder / "broken.png").write_bytes(b"no picture")
+    (folder / "note.txt").write_text("x")
+    found = catalog.files(spark, str(tmp_path), catalog.PICTURES, content=True)
+    assert {(r["object_name"], r["folder"], r["stem"]) for r in found.collect()} == {("object", "compressed", "a"), ("object", "compressed", "broken")}
+    pictures = stages.decoded(found)
+    assert {(r["path"].rsplit("/", 1)[-1], r["status"]) for r in pictures.collect()} == {("a.png", "ok"), ("broken.png", "error")}
+    good = pictures.where("status = 'ok'").drop("status", "reason")
+    fitted = stages.ingest(good, 60).drop("status", "reason")
+    masks = stages.foreground(fitted).withColumn("image_id", F.lit(1).cast("long"))
+    photos = spark.createDataFrame([(1, 60, 40, "85")], "image_id long, w int, h int, printed string")
+    leaves = stages.measure(stages.runs_of_masks(masks.select("image_id", "height", "width", "channels", "data")), photos)
+    got = leaves.orderBy("ordinal").collect()
+    assert [(r["ordinal"], r["area"], r["status"]) for r in got] == [(1, 300, "ok"), (2, 200, "ok")]
+    assert [(r["width_px"], r["height_px"]) for r in got] == [(29, 9), (19, 9)]
+    entry = json.loads(stages.summary(leaves).first()["json"])
+    assert entry["leaf_count"] == 2 and set(entry["leaves"]) == {"leaf_1", "leaf_2"}
+    assert (png.decode(bytes(stages.encoded(fitted).first()["png"])) == image).all()
+
+
+def test_stream_takes_each_file_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for names in (["a.png", "b.txt"], ["c.png"]):
+        for n in names:
+            (tmp_path / "in" / n).write_bytes(b"12345")
+        ingest.to_table(ingest.new_files(spark, str(tmp_path / "in"), "*.png"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["name"], r["stem"], r["length"]) for r in got) == [("a.png", "a", 5), ("c.png", "c", 5)]

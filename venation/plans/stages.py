@@ -7,6 +7,8 @@ one array; the segmenter's default is a threshold.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,6 +46,22 @@ def _mapped(pictures: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataF
     return with_package(pictures).mapInPandas(of, PICTURE + ", status string, reason string")
 
 
+def decoded(files: DataFrame, decode: Callable[[bytes], np.ndarray] = png.decode) -> DataFrame:
+    """Pictures of files (path, content). One that can't be decoded has the status 'error', a reason and no picture."""
+
+    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path, content in zip(part["path"], part["content"]):
+                try:
+                    out = np.ascontiguousarray(decode(content))
+                    got = (path, *out.shape, out.tobytes(), "ok", None)
+                except (ValueError, struct.error, zlib.error) as e:
+                    got = (path, None, None, None, None, "error", str(e))
+                yield pd.DataFrame([got], columns=["path", "height", "width", "channels", "data", "status", "reason"])
+
+    return with_package(files.select("path", "content")).mapInPandas(of, PICTURE + ", status string, reason string")
+
+
 def ingest(pictures: DataFrame, resolution: int = 1920) -> DataFrame:
     """Decoded pictures fitted to the resolution."""
     return _mapped(pictures, lambda a: K.fit(a, resolution))
