@@ -166,6 +166,25 @@ def test_calls_with_needs_and_cycles(spark):
     assert got["a"]["json"] == '{"arguments":{"x":1},"id":"a","name":"f","result":"say \\"hi\\""}'
 
 
+def test_levels_against_a_plain_walk(spark):
+    rng = np.random.default_rng(8)
+    graphs = {0: {i: {i - 1} for i in range(1, 40)}, 1: {0: {2}, 1: {0}, 2: {1}, 3: {2}, 4: {5}}, 2: {i: {i - 1, i - 2} - {-1} for i in range(1, 9)}, 3: {0: {0}, 1: {0, 2}}, 4: {i: {(i - 1) // 2} for i in range(1, 30)}, 5: {i: {0, *range(5)} - {i} for i in range(4)}}
+    for g in range(6, 36):  # of calls that need any other, and of calls that need earlier ones
+        n = int(rng.integers(2, 14))
+        graphs[g] = {i: {int(x) for x in rng.integers(0, n if g % 2 else max(i, 1), rng.integers(0, 4)) if g % 2 or i} for i in range(n)}
+    want = {}
+    for g, needs in graphs.items():
+        own = {*needs, *(x for v in needs.values() for x in v)}
+        level: dict = {}
+        for _ in own:
+            level |= {i: max([0, *(level[x] + 1 for x in needs.get(i, ()))]) for i in own if all(x in level for x in needs.get(i, ()))}
+        want |= {(g, str(i)): level.get(i) for i in own}
+    calls = spark.createDataFrame(list(want), "conv_id long, call_id string")
+    needs = spark.createDataFrame([(g, str(i), str(x)) for g, v in graphs.items() for i, own in v.items() for x in own] + [(0, "3", "absent")], "conv_id long, call_id string, need string")
+    assert {(r["conv_id"], r["call_id"]): r["level"] for r in chat.levels(calls, needs).collect()} == want
+    assert chat.levels(calls.limit(0), needs).count() == 0
+
+
 def test_licence_spellings(spark):
     text = "Copyright (c) 2020 Someone\n" + licenses.LICENCES["MIT"][0].upper().replace(",", " ;")
     rows = [(1, text, 0), (2, "Prose.\nThis work is licenced under the MIT Licence!", 0), (3, None, 0)]

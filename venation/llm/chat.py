@@ -4,9 +4,11 @@ Only DataFrame and SQL functions are used.
 
 Calls and results are rows, so a conversation of any length is never gathered. They are joined by (conversation, call id).
 A call can name calls whose results it needs. The order of a conversation's calls is by level, then turn, then id: a call
-without needs has level 0, any other one more than the highest level it needs. Levels are found by rounds of a join and a
-maximum; a round settles every call whose needs are settled, so there are as many rounds as the longest chain has calls.
-Calls that are never settled need themselves, over others or not; they have a null level and the status 'cyclic'.
+without needs has level 0, any other one more than the highest level it needs. Levels are found by contraction: in each
+round a need of a call that is settled becomes a number, and a need of a call that itself waits for one call only becomes a
+need of that one, at a greater distance. So a chain, a tree or what is soon reduced to them takes rounds as the logarithm of
+its length; calls that each wait for several, which wait for several, are settled a step a round.
+Calls that need themselves, over others or not, and calls that need those, have a null level and the status 'cyclic'.
 """
 
 from __future__ import annotations
@@ -14,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import forget, written
+from ._shared import written
 
 #: Of every tool: name -> {argument: (kind, required)}; kinds are those of JSON schemas.
 Schemas = dict[str, dict[str, tuple[str, bool]]]
+#: Above any level.
+CYCLIC = 1 << 40
 
 
 def json_string(text: Column) -> Column:
@@ -53,26 +57,49 @@ def problems(name: Column, arguments: Column, schemas: Schemas) -> Column:
     return out
 
 
+def _contracted(waiting: DataFrame, simple: DataFrame, most: int) -> DataFrame:
+    """waiting, with each need of a call of `simple`, which has one open need at most, replaced by that need or by its least level."""
+    by = simple.select("conv_id", F.col("call_id").alias("need"), F.col("least").alias("then"), F.try_element_at("open", F.lit(1)).alias("on"))
+    each = waiting.select("conv_id", "call_id", "least", F.explode("open").alias("o")).select("conv_id", "call_id", "least", "o.need", "o.w")
+    each = each.join(by, ["conv_id", "need"], "left")
+    known, w = F.col("then").isNotNull(), F.col("w") + F.coalesce("on.w", F.lit(0))
+    to = F.when(known, F.col("on.need")).otherwise(F.col("need"))
+    endless = to.isNotNull() & ((to == F.col("call_id")) | (w >= most))
+    least = F.when(endless, F.lit(CYCLIC)).when(known, F.greatest("least", F.col("then") + F.col("w"))).otherwise(F.col("least"))
+    each = each.select("conv_id", "call_id", least.alias("least"), F.when(~endless, to).alias("need"), w.alias("w"))
+    each = each.groupBy("conv_id", "call_id", "need").agg(F.max("least").alias("least"), F.max("w").alias("w"))
+    return each.groupBy("conv_id", "call_id").agg(F.max("least").alias("least"), F.collect_list(F.when(F.col("need").isNotNull(), F.struct("need", "w"))).alias("open"))
+
+
 def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of all calls; needs are rows (conv_id, call_id, need). Needs that no call has are ignored."""
+    """(conv_id, call_id, level) of all calls; needs are rows (conv_id, call_id, need). Needs that no call has are ignored.
+
+    Null levels are those of calls that need themselves, over others or not, or need such a call.
+    """
     nodes = written(calls.select("conv_id", "call_id").distinct(), "calls")
-    edges = written(needs.join(nodes.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_semi").distinct(), "needs")
-    settled = written(nodes.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    layers, last, level = [settled], settled, 0
-    open_ = written(edges, "open")
-    while not last.isEmpty():
-        level += 1
-        # needs that the last round did not settle; a call all of whose needs are settled comes next
-        left = written(open_.join(last.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_anti"), "open")
-        waiting = open_.select("conv_id", "call_id").distinct()
-        last = written(waiting.join(left.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)), "levels")
-        forget(open_)
-        open_ = left
-        layers.append(last)
+    # a path of `most` needs or more passes a call twice
+    most = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    edges = needs.join(nodes.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_semi")
+    edges = edges.groupBy("conv_id", "call_id").agg(F.collect_set(F.struct("need", F.lit(1).cast("long").alias("w"))).alias("open"))
+    none = F.array().cast(edges.schema["open"].dataType)
+    # level = max(least, level of each open need + its w)
+    now = written(nodes.join(edges, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.lit(0).cast("long").alias("least"), F.coalesce("open", none).alias("open")), "levels")
+    layers, before = [], None
+    while True:
+        settled, waiting = now.where(F.size("open") == 0), now.where(F.size("open") > 0)
+        layers.append(settled)
+        state = waiting.agg(F.count("*").alias("n"), F.sum(F.size("open")).alias("edges"), F.sum(F.aggregate("open", F.lit(0).cast("long"), lambda t, x: t + x["w"])).alias("w")).first()
+        if not state["n"] or state == before:
+            break
+        before = state
+        # first no need of a settled call is left, so that what chains are shortened to is settled by the next round
+        folded = written(_contracted(waiting, settled, most), "levels")
+        chained = _contracted(folded.where(F.size("open") > 0), folded.where(F.size("open") == 1), most)
+        now = written(folded.where(F.size("open") == 0).unionByName(chained), "levels")
     whole = layers[0]
     for x in layers[1:]:
         whole = whole.unionByName(x)
-    return nodes.join(whole, ["conv_id", "call_id"], "left")
+    return nodes.join(whole, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.when(F.col("least") < CYCLIC, F.col("least")).cast("int").alias("level"))
 
 
 def linked_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
