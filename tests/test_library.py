@@ -69,6 +69,79 @@ def test_turns_keep_area_and_png_round_trip():
     assert len(K.triangles([(0, 0), (2, 0), (2, 2), (0, 2)])) == 2 and len(K.subdivided((0, 0), (1, 0), (0, 1))) == 16
 
 
+def plain_regions(grid):
+    """8-connected regions as sets of (y, x), in the order of their first pixels."""
+    left, out = {(int(y), int(x)) for y, x in zip(*np.nonzero(grid))}, []
+    for p in sorted(left):
+        if p in left:
+            left.discard(p)
+            region, stack = {p}, [p]
+            while stack:
+                y, x = stack.pop()
+                near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+                left -= near
+                region |= near
+                stack += near
+            out.append(region)
+    return out
+
+
+def outer_border(region, h, w):
+    """Pixels of a region with a side on what can be reached from without over sides."""
+    stack, outside = [(-1, -1)], {(-1, -1)}
+    while stack:
+        y, x = stack.pop()
+        for q in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
+            if -1 <= q[0] <= h and -1 <= q[1] <= w and q not in outside and q not in region:
+                outside.add(q)
+                stack.append(q)
+    return {(y, x) for y, x in region if outside & {(y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)}}
+
+
+@pytest.mark.parametrize("share", [0.15, 0.4, 0.6, 0.85])
+def test_contours_against_flood_fill(share):
+    rng = np.random.default_rng(int(share * 100))
+    for _ in range(20):
+        grid = rng.random((12, 15)) < share
+        rings, want = K.contours(np.where(grid, 255, 0)), plain_regions(grid)
+        assert len(rings) == len(want)
+        for ring, region in zip(rings, want):
+            walked = set()
+            for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+                n = max(abs(bx - ax), abs(by - ay))  # corners are joined by straight or diagonal steps
+                assert n == 0 or {abs(bx - ax), abs(by - ay)} <= {0, n}
+                walked |= {(ay + (by - ay) * k // max(n, 1), ax + (bx - ax) * k // max(n, 1)) for k in range(n + 1)}
+            assert walked == outer_border(region, *grid.shape)
+
+
+def test_contour_query_finds_every_region(spark):
+    from venation.queries import HEIGHT, LEVEL, QUERIES
+
+    folder, pictures = "/root/testdata/sf0.001", {}
+    for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect():
+        pictures.setdefault(r["vec_id"] // HEIGHT, {})[r["vec_id"] % HEIGHT] = r["embedding"]
+    got = {}
+    for r in QUERIES["region_contours"](spark, folder).collect():
+        got.setdefault(r["image_id"], []).append((r["idx"], r["area"], r["n_points"]))
+    assert set(got) == set(pictures)
+    for image, rows in pictures.items():
+        want = plain_regions(np.array([rows[y] for y in sorted(rows)], float) > LEVEL)
+        assert [i for i, _, _ in sorted(got[image])] == list(range(len(want)))
+        for (_, area, points), region in zip(sorted(got[image]), want):
+            high, wide = (max(p[k] for p in region) - min(p[k] for p in region) for k in (0, 1))
+            assert points >= 1 and area <= high * wide
+
+
+def test_material_graphs(spark):
+    from venation.plans.scene import materials
+
+    leaves = spark.createDataFrame([("a", "a_d", "a_n", "a_m"), ("b", "b_d", None, "b_m")], "leaf string, diffuse string, normal string, mask string")
+    nodes, links = (x.collect() for x in materials(leaves))
+    assert {(r["leaf"], r["id"]): r["texture"] for r in nodes if r["type"] == "texture"} == {("a", "colour"): "a_d", ("a", "normals"): "a_n", ("a", "mask"): "a_m", ("b", "colour"): "b_d", ("b", "normals"): None, ("b", "mask"): "b_m"}
+    ids = {r["id"] for r in nodes}
+    assert len(nodes) == 2 * len(ids) and {r["src"] for r in links} | {r["dst"] for r in links} == ids
+
+
 def test_exif_focal_length():
     ifd = struct.pack("<HHHIII", 1, 0x8769, 4, 1, 26, 0)
     exif = struct.pack("<HHHIII", 1, 0x920A, 5, 1, 44, 0)

@@ -362,9 +362,11 @@ def region_contours(spark, d):
     return contours_of(rows, LEVEL)
 
 
-@query("select p_partkey, 10 as nodes, 12 as links from part")
+@query("select p_partkey, cast(10 as bigint) as nodes, cast(3 as bigint) as textures, cast(2 as bigint) as data_maps, cast(12 as bigint) as links from part")
 def material_graph(spark, d):
-    from .plans.scene import material_links, material_nodes
+    from .plans.scene import materials
 
-    leaves = table(spark, d, "part").select("p_partkey")
-    return leaves.withColumn("nodes", F.lit(len(material_nodes()))).withColumn("links", F.lit(len(material_links())))
+    texture = lambda end: F.concat(F.col("p_partkey").cast("string"), F.lit(end)).alias(end[1:])
+    nodes, links = materials(table(spark, d, "part").select(F.col("p_partkey").alias("leaf"), texture("_diffuse"), texture("_normal"), texture("_mask")))
+    counted = nodes.groupBy("leaf").agg(F.count("*").alias("nodes"), F.count("texture").alias("textures"), F.count("colour_space").alias("data_maps"))
+    return counted.join(links.groupBy("leaf").agg(F.count("*").alias("links")), "leaf").withColumnRenamed("leaf", "p_partkey")
