@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from public_tokenizers import path
+from pyspark.sql import functions as F
 
 from venation.llm import automaton, chat, classifier, components, dedup, hashing_search, html_text, licenses, packing, registry, rules, subword
 from venation.llm import _text as T
@@ -250,3 +251,18 @@ def test_pipeline_against_plain_versions(spark):
         used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for v in used.values():
         assert [o for o, _ in sorted(v)] == np.cumsum([0] + [x for _, x in sorted(v)])[:-1].tolist() and sum(x for _, x in v) <= 2048
+
+
+def test_pipeline_keeps_rows_not_ids(spark):
+    import corpus_pipeline as pipeline
+
+    docs = table(spark, SMALL, "documents")
+    for stage in (pipeline.classifier, pipeline.rules):  # a text's verdict is the same under a null id
+        both = stage(spark, docs.unionByName(docs.withColumns({"doc_id": F.lit(None).cast("long")})), SMALL).collect()
+        named = Counter(r["text"] for r in both if r["doc_id"] is not None)
+        assert named and named == Counter(r["text"] for r in both if r["doc_id"] is None) and sum(named.values()) < docs.count()
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, a + " more"), (3, c), (5, c + " more"), (5, d), (6, d + " more"), (7, b + " other")]
+    small = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    kept = [(r["doc_id"], r["text"]) for r in pipeline.dedup(spark, small, SMALL).collect()]
+    assert Counter(kept) == Counter([(None, a), (3, c), (5, d), (7, b + " other")])

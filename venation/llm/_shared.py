@@ -59,6 +59,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(docs: DataFrame):
+    """All columns but the text as one, for rows that go through a worker whole."""
+    return F.struct(*(c for c in docs.columns if c != "text")).alias("row")
+
+
+def uncarried(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, of rows with a text and a carried() row."""
+    return df.select(*("text" if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def fold(column: str, of: int):
     """crc32 of the id's decimal text, modulo `of`; null ids count as the text ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % of

@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ._classes import CAPITAL, CLASSES, SPACE, SYMBOL, classes
-from ._shared import fold, ship
+from ._shared import carried, fold, ship
 from ._text import runs, utf8
 from .rules import base_counts
 
@@ -159,12 +160,12 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2)
     return fit(found["p"], found["u"], prior), prior
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, carry: bool = False) -> DataFrame:
     """One row a document: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted.
 
     Null and empty texts have the features of no characters and get a score like any other. Without positives or without
     documents to learn from, every score is 0.5. Repeated rows stay rows; repeated labels count once, labels of unknown
-    documents not at all. Extra columns are ignored.
+    documents not at all. Extra columns are ignored, but with `carry` each row has its text and a `row` of all else.
     """
     weights, _ = learn(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # WIDTH numbers
@@ -174,7 +175,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
             data, offsets = utf8(batch.column(1))
             for lo, hi in runs(offsets):
                 x = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sigmoid(x.astype(np.float64) @ shared.value))], ["doc_id", "score"])
+                ids, *more = (batch.column(i).slice(lo, hi - lo) for i in (0, *kept))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sigmoid(x.astype(np.float64) @ shared.value)), *more], ["doc_id", "score", *extra])
 
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(of, "doc_id long, score double")
-    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    extra, kept = (["text", "row"], (1, 2)) if carry else ([], ())
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *([carried(docs)] if carry else []))
+    scored = rows.mapInArrow(of, S.StructType([S.StructField("doc_id", S.LongType()), S.StructField("score", S.DoubleType()), *(rows.schema[c] for c in extra)]))
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *extra)
