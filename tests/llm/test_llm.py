@@ -266,3 +266,15 @@ def test_pipeline_keeps_rows_not_ids(spark):
     small = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
     kept = [(r["doc_id"], r["text"]) for r in pipeline.dedup(spark, small, SMALL).collect()]
     assert Counter(kept) == Counter([(None, a), (3, c), (5, d), (7, b + " other")])
+
+
+def test_rare_language_has_its_own_model_and_order_is_fixed(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    text = lambda letters, n: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+    rare = [(i, text("uvwxyz", 400), "xx") for i in range(20)]
+    most = [(100 + i, text("abcdefgh", 25), "en") for i in range(1200)] + [(5000, text("abcdefgh", 25), None)]
+    score = lambda rows: {r["doc_id"]: (r["lang"], r["cross_entropy"], r["lowest"], r["highest"]) for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    alone, both = score(rare), score(rare + most)
+    assert {i: both[i] for i in alone} == alone and alone[0][0] == "xx" and both[100][0] == "en" and both[5000][0] == "*"
+    monkeypatch.setattr(rules, "MODEL_ROWS", 50)
+    assert score(rare + most) == both
