@@ -278,3 +278,11 @@ def test_rare_language_has_its_own_model_and_order_is_fixed(spark, monkeypatch):
     assert {i: both[i] for i in alone} == alone and alone[0][0] == "xx" and both[100][0] == "en" and both[5000][0] == "*"
     monkeypatch.setattr(rules, "MODEL_ROWS", 50)
     assert score(rare + most) == both
+
+
+def test_page_text_beside_a_long_article():
+    part = "<p>" + "Some words of a paragraph. " * 8 + "</p>"
+    for n in (1, 5, 100):
+        page = f"<body><div><ul><li>Home<li>News</ul><div><h1>Title</h1><p>{'The lead of it. ' * 8}</p><div>{part * n}</div></div><ul><li>Impressum<li>Contact</ul></div></body>"
+        lines = html_text.main_text(page).split("\n")
+        assert lines == ["Title", ("The lead of it. " * 8).strip()] + [part[3:-4].strip()] * n

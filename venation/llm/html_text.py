@@ -4,9 +4,9 @@ A page becomes a tree of elements. Every element has the characters and tags bel
 links. Its composite density is its characters for each tag, multiplied by a logarithm that falls as the share of link
 characters and link tags grows beside the page's own, so that menus score near zero. An element's density sum is the sum
 of its children's densities. The threshold is the least density on the path from the body to the element of greatest
-density sum; of the elements that reach the threshold, the one of greatest sum is the main subtree. Where an ancestor on
-the path reaches the threshold too and adds blocks that are themselves dense, it is taken instead, so that an article in
-several parts is whole.
+density sum; of the elements that reach the threshold, the one of greatest sum is the main subtree. Of each ancestor's
+other blocks, those with a quarter of its characters for each tag or more and few links are taken too, headings before it,
+and what stands between but blocks of links, so that an article in several parts is whole whatever its length.
 
 Before that, elements that are never main text are left out (the tags in DROPPED, and elements whose class, id or role
 names one of the parts in BOILERPLATE). Blocks are the runs of text between block elements and line breaks of the source
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ._shared import ship
 
 # The elements of HTML by how they are parsed and shown.
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
 DROPPED = set("script style noscript iframe template svg math canvas object embed head title nav header footer aside form button input select option textarea label fieldset dialog menu noframes noembed".split())
@@ -170,6 +171,24 @@ def _container(node: Node) -> bool:
     return node.tag not in INLINE and node.tag not in VOID and node.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre")
 
 
+def _units(node: Node) -> list[tuple[list, int, int, int]]:
+    """The blocks that are a node's kids, text and inline elements in a row as one: kids, characters, those in links, and tags."""
+    out: list[list] = []
+    before = False
+    for k in node.kids:
+        inline = isinstance(k, str) or k.tag in INLINE or k.tag in VOID
+        if not (inline and before):
+            out.append([])
+        out[-1].append(k)
+        before = inline
+    units = []
+    for kids in out:
+        nodes = [k for k in kids if isinstance(k, Node) and not k.dropped]
+        chars = sum(n.chars for n in nodes) + sum(len(WHITE.sub(" ", k).strip()) for k in kids if isinstance(k, str))
+        units.append((kids, chars, sum(n.link_chars for n in nodes), max(1, sum(n.tags for n in nodes))))
+    return units
+
+
 def main_node(root: Node) -> Node:
     body = next((k for k in root.kids if isinstance(k, Node) and k.tag == "body"), root)
     nodes = _measure(root)
@@ -184,12 +203,25 @@ def main_node(root: Node) -> Node:
         n = n.parent
     threshold = min((p.density for p in path if p.chars), default=0.0)
     best = max((n for n in inside if n.density >= threshold), key=lambda n: n.sum, default=top)
-    # an ancestor that holds a good deal of dense text beside what was chosen is the whole article
-    for up in [p for p in path[path.index(best) + 1 if best in path else 0 :] if p is not root]:
-        beside = sum(k.chars for k in up.kids if isinstance(k, Node) and not k.dropped and k is not best and k.density >= threshold and k.link_chars * 3 < k.chars)
-        beside += sum(len(k.strip()) for k in up.kids if isinstance(k, str))
-        if beside * 20 >= best.chars:
+    # an ancestor that holds dense text beside what was chosen is the whole article, less what stands around that text
+    child, chars, tags = best, best.chars, max(best.tags, 1)
+    for up in [p for p in path[path.index(best) + 1 :] if p is not root or body is root]:
+        units = _units(up)
+        at = next(i for i, (kids, *_) in enumerate(units) if any(k is child for k in kids))
+        found = [at]
+        for i, (kids, c, links, t) in enumerate(units):
+            heading = i < at and isinstance(kids[0], Node) and kids[0].tag in HEADINGS
+            if i != at and links * 3 < c and (heading or c * tags * 4 >= chars * t):
+                found.append(i)
+        out = [k for i, (kids, c, links, _) in enumerate(units) if i != at and (not min(found) <= i <= max(found) or links * 3 >= c > 0) for k in kids]
+        for k in out:
+            if isinstance(k, Node):
+                k.dropped = True
+        gone = set(map(id, out))
+        up.kids = [k for k in up.kids if isinstance(k, Node) or id(k) not in gone]
+        if len(found) > 1:
             best = up
+        child = up
     return best
 
 
