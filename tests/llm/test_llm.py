@@ -286,3 +286,13 @@ def test_page_text_beside_a_long_article():
         page = f"<body><div><ul><li>Home<li>News</ul><div><h1>Title</h1><p>{'The lead of it. ' * 8}</p><div>{part * n}</div></div><ul><li>Impressum<li>Contact</ul></div></body>"
         lines = html_text.main_text(page).split("\n")
         assert lines == ["Title", ("The lead of it. " * 8).strip()] + [part[3:-4].strip()] * n
+
+
+def test_wrappers_named_like_boilerplate_keep_their_text():
+    part = "Some words of a paragraph. " * 8
+    inner = f"<div class=sidebar><p>Short aside</p></div><h1>Title</h1><p>{part}</p><p>{part}</p><div id=comments><p>Nice</p></div>"
+    menu = "<nav>" + "<a href='/x'>Menu entry</a>" * 90 + "</nav>"
+    want = "\n".join(["Title", part.strip(), part.strip()])
+    for begin, end in (("<div class='content no-sidebar'>", "</div>"), ("<div class=has-header>", "</div>"), ("<div id=legal>", "</div>"), ("<form action='/x'>", "</form>"), ("<aside>", ""), ("<div>", "</div>")):
+        assert html_text.main_text(f"<body>{menu}{begin}{inner}{end}<footer>c</footer></body>") == want
+    assert html_text.main_text(f"<body><select>{'<option>Country of the world' * 90}</select><div>{inner}</div></body>") == want

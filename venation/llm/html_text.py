@@ -9,7 +9,8 @@ other blocks, those with a quarter of its characters for each tag or more and fe
 and what stands between but blocks of links, so that an article in several parts is whole whatever its length.
 
 Before that, elements that are never main text are left out (the tags in DROPPED, and elements whose class, id or role
-names one of the parts in BOILERPLATE). Blocks are the runs of text between block elements and line breaks of the source
+names one of the parts in BOILERPLATE). If that would take more than half of the page's text outside links, elements with a
+fifth of it or more stay (a short one only if it has blocks or nothing stands beside it), and what is inside them is judged in turn. Blocks are the runs of text between block elements and line breaks of the source
 don't matter; white space inside a block becomes one space.
 """
 
@@ -30,6 +31,8 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
 DROPPED = set("script style noscript iframe template svg math canvas object embed head title nav header footer aside form button input select option textarea label fieldset dialog menu noframes noembed".split())
+LINES = 250  # characters: an advertisement or a footer in one block has fewer
+FIRM = RAW | {"template", "select", "option"}  # never text, however much they hold
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 # Elements that an opening tag ends, and the elements that end is not looked for beyond.
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -131,6 +134,48 @@ def parse(page: str) -> Node:
     return root
 
 
+def _spare(root: Node) -> None:
+    """Takes back the marks of elements that hold the page's text, as those of wrappers and of elements left open."""
+    order, stack = [], [(root, False)]
+    marked = False
+    while stack:
+        node, linked = stack.pop()
+        linked = linked or node.tag == "a"
+        order.append((node, linked))
+        marked = marked or node.dropped
+        stack += [(k, linked) for k in node.kids if isinstance(k, Node) and k.tag not in FIRM]
+    if not marked:
+        return
+    free: dict[Node, int] = {}
+    for node, linked in reversed(order):
+        own = 0 if linked else sum(len(WHITE.sub(" ", k).strip()) for k in node.kids if isinstance(k, str))
+        free[node] = own + sum(free.get(k, 0) for k in node.kids if isinstance(k, Node))
+    whole = free[root]
+    top, stack = [], [root]
+    while stack:
+        for k in stack.pop().kids:
+            if isinstance(k, Node) and k in free:
+                (top if k.dropped else stack).append(k)
+    lost = sum(free[k] for k in top)
+    while lost * 2 > whole:
+        large = [k for k in top if free[k] * 5 >= whole and (free[k] >= LINES or lost == whole or any(isinstance(x, Node) and x.tag not in INLINE and x.tag not in VOID for x in k.kids))]
+        if not large:
+            return
+        top = [k for k in top if k not in large]
+        lost -= sum(free[k] for k in large)
+        stack = large
+        while stack:
+            node = stack.pop()
+            node.dropped = False
+            for k in node.kids:
+                if isinstance(k, Node) and k in free:
+                    if k.dropped:
+                        top.append(k)
+                        lost += free[k]
+                    else:
+                        stack.append(k)
+
+
 def _measure(root: Node) -> list[Node]:
     """Characters, tags and links of every element that can be main text, children before parents."""
     order, stack = [], [(root, False)]
@@ -191,6 +236,7 @@ def _units(node: Node) -> list[tuple[list, int, int, int]]:
 
 def main_node(root: Node) -> Node:
     body = next((k for k in root.kids if isinstance(k, Node) and k.tag == "body"), root)
+    _spare(root)
     nodes = _measure(root)
     _densities(nodes, body)
     inside = [n for n in nodes if n is not root and _container(n) and n.chars]
