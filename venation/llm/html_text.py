@@ -1,17 +1,21 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of elements. Every element has the characters and tags below it, and how many of either are in
-links. Its composite density is its characters for each tag, multiplied by a logarithm that falls as the share of link
-characters and link tags grows beside the page's own, so that menus score near zero. An element's density sum is the sum
-of its children's densities. The threshold is the least density on the path from the body to the element of greatest
-density sum; of the elements that reach the threshold, the one of greatest sum is the main subtree. Of each ancestor's
-other blocks, those with a quarter of its characters for each tag or more and few links are taken too, headings before it,
-and what stands between but blocks of links, so that an article in several parts is whole whatever its length.
-
-Before that, elements that are never main text are left out (the tags in DROPPED, and elements whose class, id or role
-names one of the parts in BOILERPLATE). If that would take more than half of the page's text outside links, elements with a
-fifth of it or more stay (a short one only if it has blocks or nothing stands beside it), and what is inside them is judged in turn. Blocks are the runs of text between block elements and line breaks of the source
-don't matter; white space inside a block becomes one space.
+A page becomes a tree of elements; only what is never shown as text (FIRM) is left out at once. Every element has the
+characters and tags below it, and how many of either are in links. Its composite density is its characters for each tag,
+multiplied by a logarithm that falls as the share of link characters and link tags grows beside the page's own, so that
+menus score near zero. An element's density sum is the sum of its children's densities. The threshold is the least density
+on the path from the body to the element of greatest density sum; of the elements that reach the threshold, the one of
+greatest sum is the main subtree. No name of a class, id, role or part of a page has a say in that.
+
+Then, and only then, parts that are not the article are taken out: elements whose tag (PARTS), role, class or id says so.
+A main subtree that lies in such a part gives way to the next by density sum. Names don't count against elements that hold
+the page's text: if they would take more than half of what stands outside links, elements with a fifth of it or more stay
+(a short one only if it has blocks or nothing stands beside it), and what is inside them is judged in turn. A header below
+the page's own level that has a heading is the article's. Of each ancestor's other blocks, those with half the main
+subtree's characters for each tag or more and few links are taken too, headings before it, and what stands between but
+blocks of links, so that an article in several parts is whole whatever its length. Blocks are the runs of text between block
+elements; line breaks of the source don't matter, and white space inside a block becomes one space. Formulas, hidden
+elements and drawings are text like any other: only what was named above is dropped.
 """
 
 from __future__ import annotations
@@ -30,55 +34,52 @@ from ._shared import ship
 HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
-DROPPED = set("script style noscript iframe template svg math canvas object embed head title nav header footer aside form button input select option textarea label fieldset dialog menu noframes noembed".split())
+# Of these, never text, however much they hold; and parts that are not the article.
+FIRM = set("script style textarea title noscript iframe xmp noembed noframes head template select option datalist".split())
+PARTS = set("nav header footer aside form button input label fieldset dialog menu".split())
 LINES = 250  # characters: an advertisement or a footer in one block has fewer
-FIRM = RAW | {"template", "select", "option"}  # never text, however much they hold
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle semantics annotation svg text tspan button label object canvas picture audio video".split())
 # Elements that an opening tag ends, and the elements that end is not looked for beyond.
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th", "tbody", "thead", "tfoot"}, "tbody": {"tr", "td", "th", "tbody", "thead", "tfoot"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
+# Words of classes and ids, alone or parted by dashes, underscores or spaces, that name menus, notices, adverts and comments.
 BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|paywall"
-    r"|nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|pagination|pager|toc|header|masthead|footer|foot|sidebar|side|aside|widget|widgets|related|recommended|recommendations|share|sharing|social"
-    r"|comment|comments|commentlist|disqus|replies|respond|reply|login|signup|search|searchbox|toolbar|skip|copyright|legal|disclaimer|tags|tagcloud|meta|byline|outbrain|taboola)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|popup|modal|newsletter|subscribe|subscription|paywall"
+    r"|nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|pagination|pager|masthead|footer|sidebar|widget|widgets|recommendations"
+    r"|comment|comments|commentlist|disqus|replies|respond|login|signup|searchbox|toolbar|tagcloud|outbrain|taboola)(?:$|[\s_-])"
 )
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*))?""", re.I)
+NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*))?""", re.I)
 WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "chars", "tags", "link_chars", "link_tags", "density", "sum", "dropped")
+    __slots__ = ("tag", "kids", "parent", "chars", "tags", "link_chars", "link_tags", "density", "sum", "named", "dropped")
 
-    def __init__(self, tag: str, parent: "Node | None", dropped: bool):
-        self.tag, self.parent, self.kids, self.dropped = tag, parent, [], dropped
+    def __init__(self, tag: str, parent: "Node | None", named: bool = False):
+        self.tag, self.parent, self.kids, self.named, self.dropped = tag, parent, [], named, tag in FIRM
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
+def _named(tag: str, attributes: str) -> bool:
+    """Whether a tag or its class, id or role names a part that isn't the article."""
+    if tag in PARTS:
         return True
     if not attributes or tag in ("html", "body", "main", "article"):
         return False
     for m in NAMES.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name in ("class", "id"):
-            if BOILERPLATE.search(value):
-                return True
-        elif name == "role":
-            if value in ROLES:
-                return True
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+        value = (m[2] or "").strip("\"'").lower()
+        if value in ROLES if m[1].lower() == "role" else BOILERPLATE.search(value):
             return True
     return False
 
 
 def parse(page: str) -> Node:
     """The page as a tree. Strings among the kids are text. Tags left open are closed where HTML closes them."""
-    root = Node("html", None, False)
+    root = Node("html", None)
     now, at, end = root, 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
@@ -100,11 +101,11 @@ def parse(page: str) -> Node:
             if node is not None and node.parent is not None and tag != "body":
                 now = node.parent
             elif tag == "p":
-                now.kids.append(Node("p", now, False))
+                now.kids.append(Node("p", now))
             continue
         if tag in ("html", "body"):
             if tag == "body" and not any(isinstance(k, Node) and k.tag == "body" for k in root.kids):
-                body = Node("body", root, False)
+                body = Node("body", root)
                 root.kids.append(body)
                 now = body
             continue
@@ -121,12 +122,12 @@ def parse(page: str) -> Node:
                     now = node.parent
                     break
                 node = node.parent
-        node = Node(tag, now, _boilerplate(tag, m[3]))
+        node = Node(tag, now, _named(tag, m[3]))
         now.kids.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(page, at)
             inner = page[at : close.start() if close else end]
-            if tag == "noscript" or not node.dropped:
+            if not node.dropped:
                 node.kids.append(inner)
             at = close.end() if close else end
         elif tag not in VOID and not m[3].endswith("/"):
@@ -134,22 +135,24 @@ def parse(page: str) -> Node:
     return root
 
 
-def _spare(root: Node) -> None:
-    """Takes back the marks of elements that hold the page's text, as those of wrappers and of elements left open."""
+def _drop_named(root: Node) -> None:
+    """Drops elements that are named as other parts, but those that hold the page's text, as wrappers and elements left open."""
     order, stack = [], [(root, False)]
-    marked = False
     while stack:
         node, linked = stack.pop()
         linked = linked or node.tag == "a"
         order.append((node, linked))
-        marked = marked or node.dropped
         stack += [(k, linked) for k in node.kids if isinstance(k, Node) and k.tag not in FIRM]
-    if not marked:
-        return
     free: dict[Node, int] = {}
+    headed: set[Node] = set()
     for node, linked in reversed(order):
         own = 0 if linked else sum(len(WHITE.sub(" ", k).strip()) for k in node.kids if isinstance(k, str))
         free[node] = own + sum(free.get(k, 0) for k in node.kids if isinstance(k, Node))
+        if node.tag in HEADINGS or any(k in headed for k in node.kids):
+            headed.add(node)
+    for node, _ in order:
+        outer = node.parent is None or node.parent.tag in ("html", "body")
+        node.dropped = node.named and not (node.tag == "header" and node in headed and not outer)
     whole = free[root]
     top, stack = [], [root]
     while stack:
@@ -184,6 +187,8 @@ def _measure(root: Node) -> list[Node]:
         order.append((node, linked))
         here = linked or node.tag == "a"
         stack += [(k, here) for k in node.kids if isinstance(k, Node) and not k.dropped]
+    for node, _ in order:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
     for node, linked in reversed(order):
         own = sum(len(WHITE.sub(" ", k).strip()) for k in node.kids if isinstance(k, str))
         node.chars += own
@@ -199,6 +204,7 @@ def _measure(root: Node) -> list[Node]:
 
 
 def _densities(nodes: list[Node], body: Node) -> None:
+    """Composite densities, and the sums of children's densities."""
     whole = body.link_chars / max(body.chars, 1)
     for n in nodes:
         if not n.chars:
@@ -234,21 +240,34 @@ def _units(node: Node) -> list[tuple[list, int, int, int]]:
     return units
 
 
-def main_node(root: Node) -> Node:
+def _inside_dropped(node: Node) -> bool:
+    while node is not None and not node.dropped:
+        node = node.parent
+    return node is not None
+
+
+def main_node(root: Node, names: bool = True) -> Node:
+    """The main subtree, after what isn't the article in it and around it is marked as dropped. names: whether names may say so."""
     body = next((k for k in root.kids if isinstance(k, Node) and k.tag == "body"), root)
-    _spare(root)
     nodes = _measure(root)
     _densities(nodes, body)
     inside = [n for n in nodes if n is not root and _container(n) and n.chars]
     if not inside:
         return body
-    top = max(inside, key=lambda n: n.sum)
-    path, n = [], top
+    path, n = [], max(inside, key=lambda n: n.sum)
     while n is not None:
         path.append(n)
         n = n.parent
     threshold = min((p.density for p in path if p.chars), default=0.0)
-    best = max((n for n in inside if n.density >= threshold), key=lambda n: n.sum, default=top)
+    ranked = sorted((n for n in inside if n.density >= threshold), key=lambda n: -n.sum) or [path[0]]
+    if names:
+        _drop_named(root)
+        _measure(root)
+    best = next((n for n in ranked if not _inside_dropped(n) and n.chars), body)
+    path, n = [], best
+    while n is not None:
+        path.append(n)
+        n = n.parent
     # an ancestor that holds dense text beside what was chosen is the whole article, less what stands around that text
     child, chars, tags = best, best.chars, max(best.tags, 1)
     for up in [p for p in path[path.index(best) + 1 :] if p is not root or body is root]:
@@ -257,7 +276,7 @@ def main_node(root: Node) -> Node:
         found = [at]
         for i, (kids, c, links, t) in enumerate(units):
             heading = i < at and isinstance(kids[0], Node) and kids[0].tag in HEADINGS
-            if i != at and links * 3 < c and (heading or c * tags * 4 >= chars * t):
+            if i != at and links * 3 < c and (heading or c * tags * 2 >= chars * t):
                 found.append(i)
         out = [k for i, (kids, c, links, _) in enumerate(units) if i != at and (not min(found) <= i <= max(found) or links * 3 >= c > 0) for k in kids]
         for k in out:
@@ -303,10 +322,10 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def main_text(page: str) -> str:
+def main_text(page: str, names: bool = True) -> str:
     if not page:
         return ""
-    return "\n".join(blocks(main_node(parse(page))))
+    return "\n".join(blocks(main_node(parse(page), names)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
