@@ -193,13 +193,6 @@ def test_licence_spellings(spark):
     assert got[1]["licence"] == "MIT" and got[2]["licence"] is None and got[2]["notices"] == "MIT-notice" and got[3]["notices"] == ""
 
 
-def test_odd_calls(spark):
-    turns = spark.createDataFrame([(1, 0, "user", None, 1), (1, 1, "assistant", "", 1), (1, 2, "user", "x " * 50000, 1), (1, 2, "user", "x " * 50000, 1), (1, None, "user", "t", 1), (None, 0, "user", "t", 1), (2, 0, None, "t", 1)], "conv_id long, turn long, role string, text string, level int")
-    rows = chat.linked_calls(*chat.calls_of(turns), chat.SCHEMAS).collect()
-    assert sorted((r["conv_id"], r["turn"], r["level"], r["status"]) for r in rows) == [(1, 0, 0, "ok"), (1, 2, 1, "unanswered")]
-    assert chat.linked_calls(*chat.calls_of(turns.limit(0)), chat.SCHEMAS).count() == 0
-
-
 def test_odd_vectors(spark):
     nan = float("nan")
     good = [(i, [float(i % 7), 1.0, float(i % 5), -1.0]) for i in range(0, 60)]

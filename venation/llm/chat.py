@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import forget, written
 
 #: Of every tool: name -> {argument: (kind, required)}; kinds are those of JSON schemas.
 Schemas = dict[str, dict[str, tuple[str, bool]]]
@@ -30,30 +30,59 @@ def json_string(text: Column) -> Column:
     return F.when(text.isNull(), F.lit("null")).otherwise(F.substr(whole, F.lit(2), F.length(whole) - 2))
 
 
+def parsed(text: Column) -> Column:
+    """A JSON text as a variant; null if the text is not one JSON value, whole. A mark after it shows that nothing was left over."""
+    mark = F.md5(text.cast("binary"))
+    v = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    whole = (F.try_variant_get(v, "$[1]", "string") == mark) & F.try_variant_get(v, "$[2]", "variant").isNull()
+    return F.when(whole, F.try_variant_get(v, "$[0]", "variant"))
+
+
+def arguments_of(text: Column) -> Column:
+    """The arguments of a call given as the JSON text of an object: a map of name to JSON text, null if it isn't one."""
+    return F.transform_values(F.try_variant_get(parsed(text), "$", "map<string,variant>"), lambda _, v: F.to_json(v))
+
+
 def _is(kind: str, value: Column) -> Column:
-    """Whether a JSON value's text is of a kind."""
+    """Whether an argument (a struct of the variant v and its type) is of a kind."""
+    type_, number = value["type"], F.try_variant_get(value["v"], "$", "double")
+    finite = F.abs(number) < float("inf")
     if kind == "integer":
-        return value.rlike(r"^-?(0|[1-9][0-9]*)$")
+        return (type_ == "BIGINT") | type_.rlike(r"^DECIMAL\([0-9]+,0\)$") | (type_ == "DOUBLE") & finite & (F.floor(number) == number)
     if kind == "number":
-        return value.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
-    if kind == "boolean":
-        return value.isin("true", "false")
-    if kind == "array":
-        return value.startswith("[")
-    if kind == "object":
-        return value.startswith("{")
-    return F.lit(True)
-
-
-def problems(name: Column, arguments: Column, schemas: Schemas) -> Column:
-    """What is wrong with a call's arguments, a map of texts: sorted strings, none if all is well."""
+        return (type_ == "BIGINT") | type_.startswith("DECIMAL") | (type_ == "DOUBLE") & finite
+    plain = {"boolean": "BOOLEAN", "string": "STRING", "array": "ARRAY<", "object": "OBJECT<", "null": "VOID"}
+    return type_.startswith(plain[kind]) if kind in plain else F.lit(True)
+
+
+def opened(arguments: Column) -> Column:
+    """A map of JSON texts as sorted entries: key, text, v (the variant, null if the text isn't JSON) and its type."""
+    entries = F.array_sort(F.map_entries(F.coalesce(arguments, F.expr("cast(map() as map<string,string>)"))))
+    read = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("text"), parsed(F.coalesce(e["value"], F.lit("null"))).alias("v")))
+    return F.transform(read, lambda e: F.struct(e["key"].alias("key"), e["text"].alias("text"), e["v"].alias("v"), F.schema_of_variant(e["v"]).alias("type")))
+
+
+def canonical(entries: Column) -> Column:
+    """Opened arguments as one canonical JSON object: keys sorted at every depth, numbers in one form, no white space. What isn't JSON becomes a string of its text."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(json_string(e["key"]), F.lit(":"), F.coalesce(F.to_json(e["v"]), json_string(e["text"])))), ","), F.lit("}"))
+
+
+def problems(name: Column, entries: Column, schemas: Schemas) -> Column:
+    """What is wrong with a call's opened arguments: sorted strings, none if all is well."""
     out = F.array(F.concat(F.lit("unknown tool "), F.coalesce(name, F.lit("null"))))
+    keys = F.transform(entries, lambda e: e["key"])
     for tool in sorted(schemas):
         spec = schemas[tool]
-        found = [F.when(~F.coalesce(F.map_contains_key(arguments, F.lit(a)), F.lit(False)), F.lit(f"missing {a}")) for a, (_, needed) in sorted(spec.items()) if needed]
-        found += [F.when(F.coalesce(F.map_contains_key(arguments, F.lit(a)), F.lit(False)) & ~F.coalesce(_is(kind, F.try_element_at(arguments, F.lit(a))), F.lit(False)), F.lit(f"{a} is not {kind}")) for a, (kind, _) in sorted(spec.items())]
-        extra = F.transform(F.array_sort(F.array_except(F.coalesce(F.map_keys(arguments), F.array().cast("array<string>")), F.array(*map(F.lit, sorted(spec))))), lambda k: F.concat(F.lit("unexpected "), k))
-        out = F.when(name == tool, F.concat(F.array_compact(F.array(*found)) if found else F.array().cast("array<string>"), extra)).otherwise(out)
+        missing = [F.when(~F.array_contains(keys, a), F.lit(f"missing {a}")) for a, (_, needed) in sorted(spec.items()) if needed]
+
+        def wrong(e: Column) -> Column:
+            out = F.when(e["v"].isNull(), F.concat(e["key"], F.lit(" is not JSON")))
+            for a, (kind, _) in sorted(spec.items()):  # noqa: B023
+                out = out.when((e["key"] == a) & ~F.coalesce(_is(kind, e), F.lit(False)), F.lit(f"{a} is not {kind}"))
+            return out.when(~e["key"].isin(sorted(spec)), F.concat(F.lit("unexpected "), e["key"]))  # noqa: B023
+
+        found = F.concat(F.array_compact(F.array(*missing)) if missing else F.array().cast("array<string>"), F.array_compact(F.transform(entries, wrong)))
+        out = F.when(name == tool, F.array_sort(found)).otherwise(out)
     return out
 
 
@@ -96,6 +125,7 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
         folded = written(_contracted(waiting, settled, most), "levels")
         chained = _contracted(folded.where(F.size("open") > 0), folded.where(F.size("open") == 1), most)
         now = written(folded.where(F.size("open") == 0).unionByName(chained), "levels")
+        forget(folded)
     whole = layers[0]
     for x in layers[1:]:
         whole = whole.unionByName(x)
@@ -105,19 +135,20 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
 def linked_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     """One row a call: its level, its result, its status and its canonical JSON.
 
-    calls: conv_id, turn, call_id, name, arguments (map of name to JSON text), needs (array of call ids).
+    calls: conv_id, turn, call_id, name, arguments (map of name to JSON text; see arguments_of), needs (array of call ids).
     results: conv_id, turn, call_id, content.
 
     status is the first that holds of 'cyclic', 'invalid' (arguments against the schema), 'unanswered', 'early' (the result's
     turn isn't after the call's) and 'ok'. Of several calls of one id in a conversation, and of several results, the one of
-    the least turn counts, then of the least text. Results without a call are dropped: nothing asked for them. A null
-    turn counts as before all others. Extra columns are ignored.
+    the least turn counts, then of the least text; a null turn counts as before all others. Calls and results without a
+    conversation or an id are dropped, and so are results without a call: nothing asked for them. A null argument is JSON's
+    null. The JSON always parses, whatever the arguments: what is not JSON (or larger than a variant holds, or of repeated
+    keys) stands in it as a string and makes the call invalid. A number beyond a double is no number. No calls give no
+    rows. Extra columns are ignored.
     """
     calls = calls.select("conv_id", F.col("turn").cast("long"), "call_id", "name", "arguments", "needs").where("conv_id is not null and call_id is not null")
-    entry = F.array_sort(F.map_entries(F.coalesce(F.col("arguments"), F.expr("cast(map() as map<string,string>)"))))
-    calls = calls.withColumn("body", F.concat(F.lit("{"), F.array_join(F.transform(entry, lambda e: F.concat(json_string(e["key"]), F.lit(":"), F.coalesce(e["value"], F.lit("null")))), ","), F.lit("}")))
-    problem = problems(F.col("name"), F.col("arguments"), schemas)
-    calls = calls.withColumn("problems", problem).drop("arguments")
+    calls = calls.withColumn("opened", opened(F.col("arguments")))
+    calls = calls.withColumn("body", canonical(F.col("opened"))).withColumn("problems", problems(F.col("name"), F.col("opened"), schemas)).drop("arguments", "opened")
     first = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", F.col("name").alias("name"), "body", "problems", "needs")).alias("c"))
     first = written(first.select("conv_id", "call_id", "c.*"), "first")
     answer = results.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct(F.col("turn").cast("long").alias("turn"), F.col("content").cast("string").alias("content"))).alias("r"))
@@ -137,36 +168,69 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> Data
 
 
 #: A conversation's turns as calls: what the user says is a call of `respond`, the next turn of the assistant its result.
-SCHEMAS: Schemas = {"respond": {"text": ("string", True), "words": ("integer", True)}}
+SCHEMAS: Schemas = {"respond": {"text": ("string", True), "words": ("integer", True), "hints": ("object", False), "tags": ("array", False)}}
+
+# Turns hold no arguments, no faults and no cycles of their own; by these rules some conversations' calls have them.
+HINTS, TAGS, BROKEN = '{ "b" : [1, 2.50, {"z":null}], "a": "x" }', '["u" , 1]', "[1,"
+RULES = {
+    "hints": "conv_id % 3 = 1",  # nested, and not canonical as given
+    "tags": "conv_id % 5 = 2",  # broken in every other call
+    "broken": "turn % 4 >= 2",
+    "worded": "conv_id % 7 = 3",  # words are given as a string
+    "unknown": "conv_id % 13 = 5 and turn % 4 >= 2",  # a tool that no schema has
+    "cyclic": "conv_id % 11 = 4 and turn in (0, 1)",  # the first call needs the one that follows it up
+    "early": "conv_id % 9 = 6",  # the assistant's turn answers the call after it
+}
 
 
 def calls_of(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of (conv_id, turn, role, text): call `c<turn>` needs the call two turns before, which it follows up."""
+    """Calls and results of (conv_id, turn, role, text): call `c<turn>` needs the call two turns before, which it follows up.
+
+    A turn without a number makes no call and no result, and one of another role neither. A null text makes an argument that is no string.
+    """
+    rule = {k: F.coalesce(F.expr(v), F.lit(False)) for k, v in RULES.items()}
     words = F.size(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")), " "))
-    words = F.when(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), words).otherwise(0)
+    words = F.when(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), words).otherwise(0).cast("string")
     id_of = lambda t: F.concat(F.lit("c"), t.cast("string"))
     turn = F.col("turn").cast("long")
-    calls = turns.where("role = 'user'").select("conv_id", turn.alias("turn"), id_of(turn).alias("call_id"), F.lit("respond").alias("name"), F.create_map(F.lit("text"), json_string(F.col("text").cast("string")), F.lit("words"), words.cast("string")).alias("arguments"), F.array(id_of(turn - 2)).alias("needs"))
-    results = turns.where("role = 'assistant'").select("conv_id", turn.alias("turn"), id_of(turn - 1).alias("call_id"), F.col("text").alias("content"))
+    own = turns.select("conv_id", turn.alias("turn"), F.col("role").alias("role"), F.col("text").cast("string").alias("text"))
+    given = F.create_map(F.lit("text"), json_string(F.col("text")), F.lit("words"), F.when(rule["worded"], F.concat(F.lit('"'), words, F.lit('"'))).otherwise(words))
+    none = F.expr("cast(map() as map<string,string>)")
+    more = [F.when(rule["hints"], F.create_map(F.lit("hints"), F.lit(HINTS))).otherwise(none), F.when(rule["tags"], F.create_map(F.lit("tags"), F.when(rule["broken"], BROKEN).otherwise(TAGS))).otherwise(none)]
+    needs = F.array_compact(F.array(id_of(F.col("turn") - 2), F.when(rule["cyclic"], id_of(F.col("turn") + 2))))
+    calls = own.where("role = 'user'").select("conv_id", "turn", id_of(F.col("turn")).alias("call_id"), F.when(rule["unknown"], "lookup").otherwise("respond").alias("name"), F.map_concat(given, *more).alias("arguments"), needs.alias("needs"))
+    results = own.where("role = 'assistant'").select("conv_id", "turn", id_of(F.col("turn") + F.when(rule["early"], 1).otherwise(-1)).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 
 #: What op1 returns over conversations.
 SQL = """
 with u as (
-  select conv_id, turn, min(text) as text, count(*) as n from conversations where role = 'user' and conv_id is not null and turn is not null group by 1, 2
+  select conv_id, turn, min({'body': body, 'problems': problems}) as best from (
+    select conv_id, turn,
+      '{' || case when <hints> then '"hints":{"a":"x","b":[1,2.5,{"z":null}]},' else '' end
+      || case when <tags> then '"tags":' || case when <broken> then '"[1,"' else '["u",1]' end || ',' else '' end
+      || '"text":' || coalesce(to_json(text)::varchar, 'null') || ',"words":' || case when <worded> then '"' || n || '"' else n end || '}' as body,
+      case when <unknown> then 'unknown tool lookup' else array_to_string(list_filter([
+        case when <tags> and <broken> then 'tags is not JSON' end, case when text is null then 'text is not string' end, case when <worded> then 'words is not integer' end], lambda x: x is not null), '; ') end as problems
+    from (select *, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::varchar as n from conversations)
+    where role = 'user' and conv_id is not null and turn is not null) group by 1, 2
 ), a as (
-  select conv_id, turn, min(text) as text from conversations where role = 'assistant' and conv_id is not null group by 1, 2
+  select conv_id, call, min({'turn': turn, 'some': text is not null, 'text': coalesce(text, '')}) as best from (select *, turn + case when <early> then 1 else -1 end as call from conversations)
+  where role = 'assistant' and conv_id is not null and turn is not null group by 1, 2
 ), g as (
   select *, sum(case when prev is null then 1 else 0 end) over (partition by conv_id, turn % 2 order by turn) as run
   from (select u.*, p.turn as prev from u left join u p on p.conv_id = u.conv_id and p.turn = u.turn - 2)
 ), l as (
-  select *, row_number() over (partition by conv_id, turn % 2, run order by turn) - 1 as level from g
-), j as (
-  select l.conv_id, l.turn, 'c' || l.turn as call_id, l.level, a.turn as result_turn, a.text as answer, a.conv_id is not null as answered,
-    '{"arguments":{"text":' || coalesce(to_json(l.text)::varchar, 'null') || ',"words":' || len(regexp_extract_all(coalesce(l.text, ''), '[^\\x20\\x09-\\x0D]+'))
-    || '},"id":"c' || l.turn || '","name":"respond","result":' || coalesce(to_json(a.text)::varchar, 'null') || '}' as json
-  from l left join a on a.conv_id = l.conv_id and a.turn = l.turn + 1
+  select *, case when <unknown> then 'lookup' else 'respond' end as tool, row_number() over (partition by conv_id, turn % 2, run order by turn) - 1 as nth, turn >= 0 and bool_or(<cyclic>) over (partition by conv_id, turn % 2, run) and bool_or(turn in (2, 3)) over (partition by conv_id, turn % 2, run) as endless from g
+), f as (
+  -- a first call whose follow-up is no part of its run waits for nothing else
+  select l.conv_id, l.turn, 'c' || l.turn as call_id, case when not endless then nth end as level, a.best.turn as result_turn, a.call is not null as answered, l.best.problems as problems,
+    '{"arguments":' || l.best.body || ',"id":"c' || l.turn || '","name":"' || l.tool || '","result":' || case when a.best.some then to_json(a.best.text)::varchar else 'null' end || '}' as json
+  from l left join a on a.conv_id = l.conv_id and a.call = l.turn
 )
-select conv_id, turn, call_id, level, case when answered then 'ok' else 'unanswered' end as status, '' as problems, result_turn, md5(json) as json_md5, length(json) as json_chars from j
+select conv_id, turn, call_id, level, case when level is null then 'cyclic' when problems <> '' then 'invalid' when not answered then 'unanswered' when result_turn <= turn then 'early' else 'ok' end as status,
+  problems, result_turn, md5(json) as json_md5, length(json) as json_chars from f
 """
+for _name, _rule in RULES.items():
+    SQL = SQL.replace(f"<{_name}>", f"coalesce({_rule}, false)")
