@@ -7,7 +7,7 @@ import pytest
 from public_tokenizers import path
 from pyspark.sql import functions as F
 
-from venation.llm import automaton, chat, classifier, components, dedup, hashing_search, html_text, licenses, packing, registry, rules, subword
+from venation.llm import automaton, chat, classifier, components, dedup, html_text, licenses, packing, registry, rules, subword
 from venation.llm import _text as T
 from venation.llm._shared import table
 
@@ -86,25 +86,6 @@ def test_classifier_on_held_out_labels(spark):
     assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in rows]) > 0.97
 
 
-def test_neighbours_against_brute_force(spark):
-    rows = table(spark, SMALL, "embeddings").orderBy("vec_id").collect()
-    x, ids = np.array([r["embedding"] for r in rows], float), np.array([r["vec_id"] for r in rows])
-    hits = 0
-    got = registry.QUERIES["op5_multi_index_hashing"](spark, SMALL).collect()
-    for q in ids[ids % 50 == 0]:
-        score = hashing_search.cosines(x, x[ids == q][0])
-        score[ids == q] = -2
-        hits += len({r["vec_id"] for r in got if r["query_id"] == q} & set(ids[np.argsort(-score)[:5]].tolist()))
-    assert hits >= 0.9 * len(got) and len(got) == 5 * (ids % 50 == 0).sum()
-
-
-def test_pigeonhole_retrieves_every_code():
-    codes = np.random.default_rng(1).integers(0, 256, (500, 4), np.uint8)
-    for r in (0, 3, 9, 14, 32):
-        want = np.flatnonzero(hashing_search.BYTE_DISTANCE[codes, codes[0]].sum(axis=1) <= r)
-        assert (hashing_search.Index(codes).within(codes[0], r) == want).all()
-
-
 def test_merge_dropout():
     import sentencepiece
 
@@ -193,19 +174,6 @@ def test_licence_spellings(spark):
     assert got[1]["licence"] == "MIT" and got[2]["licence"] is None and got[2]["notices"] == "MIT-notice" and got[3]["notices"] == ""
 
 
-def test_odd_vectors(spark):
-    nan = float("nan")
-    good = [(i, [float(i % 7), 1.0, float(i % 5), -1.0]) for i in range(0, 60)]
-    bad = [(100, None), (150, [0.0] * 4), (200, [nan, 1.0, 1.0, 1.0]), (250, [None, 1.0, 1.0, 1.0]), (None, [1.0] * 4)]
-    vectors = spark.createDataFrame([(i, v, 0) for i, v in good + bad], "vec_id long, embedding array<float>, rank int")
-    got = hashing_search.nearest(vectors).orderBy("query_id", "rank").collect()
-    assert {r["query_id"] for r in got} == {0, 50} and {r["vec_id"] for r in got} <= set(range(60))
-    assert all(sum(r["query_id"] == q for r in got) == 5 for q in (0, 50))
-    for a, b in zip(got, got[1:]):  # nearest first, ties to the smaller id
-        assert a["query_id"] != b["query_id"] or (-a["score"], a["vec_id"]) < (-b["score"], b["vec_id"])
-    assert hashing_search.nearest(vectors.limit(0)).count() == 0
-
-
 def test_odd_pages(spark):
     rows = [(1, "u", None, 0), (2, None, "", 0), (None, "u", "<p>" * 3000 + "deep", 0), (3, "u", "a &lt; b &#233;", 0), (3, "u", "a &lt; b &#233;", 0)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
