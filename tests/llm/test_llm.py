@@ -72,14 +72,6 @@ def test_base_counts(spark, docs):
         assert got[i]["base_failed"] == (len(w) < 20 or 100 * len(cover) > 30 * len(w))
 
 
-def test_model_sums_to_one():
-    rng = np.random.default_rng(2)
-    run, n = np.unique(rules.codes(rng.integers(0, 6, 3000).astype(np.uint8), 4), return_counts=True)
-    model = rules.Model(run, n, 4)
-    for context in [*run[:20] // rules.CLASSES, 47 * rules.CLASSES]:
-        assert (10 ** model.log10(context * rules.CLASSES + np.arange(rules.CLASSES))).sum() == pytest.approx(1, abs=1e-3)
-
-
 def test_classifier_on_held_out_labels(spark):
     labels = {r["doc_id"]: r["quality"] for r in table(spark, "/root/testdata/sf0.1", "labels").collect()}
     rows = [r for r in registry.QUERIES["op4_positive_unlabelled"](spark, "/root/testdata/sf0.1").collect() if r["held_out"] and r["doc_id"] in labels]
@@ -229,18 +221,6 @@ def test_pipeline_keeps_rows_not_ids(spark):
     assert Counter(kept) == Counter([(None, a), (3, c), (5, d), (7, b + " other")])
 
 
-def test_rare_language_has_its_own_model_and_order_is_fixed(spark, monkeypatch):
-    rng = np.random.default_rng(5)
-    text = lambda letters, n: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
-    rare = [(i, text("uvwxyz", 400), "xx") for i in range(20)]
-    most = [(100 + i, text("abcdefgh", 25), "en") for i in range(1200)] + [(5000, text("abcdefgh", 25), None)]
-    score = lambda rows: {r["doc_id"]: (r["lang"], r["cross_entropy"], r["lowest"], r["highest"]) for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    alone, both = score(rare), score(rare + most)
-    assert {i: both[i] for i in alone} == alone and alone[0][0] == "xx" and both[100][0] == "en" and both[5000][0] == "*"
-    monkeypatch.setattr(rules, "MODEL_ROWS", 50)
-    assert score(rare + most) == both
-
-
 def test_page_text_beside_a_long_article():
     part = "<p>" + "Some words of a paragraph. " * 8 + "</p>"
     for n in (1, 5, 100):
