@@ -51,6 +51,36 @@ def parse_asset_name(name: Column) -> Column:
     )
 
 
+def is_leaf_folder(name: Column) -> Column:
+    return name.startswith("leaf_")
+
+
+def leaf_number(name: Column) -> Column:
+    return F.replace(name, F.lit("leaf_"), F.lit(""))
+
+
+def is_part_photo(name: Column) -> Column:
+    """Not the photo of all leaves together."""
+    return ~name.endswith("full_photo.png")
+
+
+# --- alpha
+
+
+def is_solid(alpha: Column) -> Column:
+    """Over 0.8 of full alpha."""
+    return alpha > 204
+
+
+def is_visible(alpha: Column) -> Column:
+    return alpha > 0
+
+
+def has_alpha(channels: Column, least_alpha: Column) -> Column:
+    """Whether a picture's alpha says anything: four channels, not all of them opaque."""
+    return (channels == 4) & (least_alpha < 255)
+
+
 # --- geometry
 
 
@@ -82,14 +112,16 @@ def square_box(y0: Column, y1: Column, x0: Column, x1: Column, h: Column, w: Col
     return [F.greatest(zero, cy - half), F.least(h, cy + half), F.greatest(zero, cx - half), F.least(w, cx + half)]
 
 
-def rows_top(h: Column) -> Column:
-    """Rows of the top tenth: floored."""
-    return F.floor(h / 10)
+def aspect_fit(w: Column, h: Column, to_w: int, to_h: int) -> tuple[Column, Column]:
+    """Size that fits into to_w x to_h with the same aspect: the side that the ratio says is filled, the other cut to whole pixels."""
+    wide = w / h > F.lit(to_w / to_h)
+    return F.when(wide, F.lit(to_w)).otherwise((F.lit(float(to_h)) * (w / h)).cast("int")), F.when(wide, (F.lit(float(to_w)) / (w / h)).cast("int")).otherwise(F.lit(to_h))
 
 
-def rows_bottom(h: Column) -> Column:
-    """Rows of the bottom tenth: rounded up."""
-    return F.ceil(h / 10)
+def stage_side(h: Column, w: Column) -> Column:
+    """Side of the least square of 32 * 2**k that holds h x w."""
+    n = F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(h, w) / 32)).cast("int") + 1)
+    return (F.lit(32) * F.pow(F.lit(2.0), n - 1)).cast("int")
 
 
 # --- optics
@@ -101,6 +133,16 @@ def pixel_pitch(w: Column, h: Column) -> tuple[Column, Column]:
     return F.when(wide, SENSOR_W_MM / w).otherwise(SENSOR_H_MM / w), F.when(wide, SENSOR_H_MM / h).otherwise(SENSOR_W_MM / h)
 
 
+def mean_pitch(w: Column, h: Column) -> Column:
+    """mm of sensor for a pixel, as the mean of both axes of a landscape picture."""
+    return (SENSOR_W_MM / w + SENSOR_H_MM / h) / 2
+
+
+def fixed_cm(pixels: Column, pixels_a_cm: float = 60.14) -> Column:
+    """Length at a fixed scale, where nothing is known of the camera."""
+    return pixels / F.lit(pixels_a_cm)
+
+
 def orientation(w: Column, h: Column) -> Column:
     return F.when(w > h, "landscape").otherwise("portrait")
 

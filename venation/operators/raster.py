@@ -7,11 +7,14 @@ which is bounded by the camera's frame, not by the data.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .kernels import connected
+
 REGIONS = "image_id long, label int, y int, x0 int, x1 int"
 
 
@@ -36,26 +39,8 @@ def label(runs: DataFrame) -> DataFrame:
 
     def of(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["y", "x0"], ignore_index=True)
-        y, x0, x1 = (part[c].tolist() for c in ("y", "x0", "x1"))
-        parent = list(range(len(y)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        above = 0
-        for i in range(len(y)):  # runs above that touch, corners included; both rows are in order
-            while above < i and (y[above] < y[i] - 1 or y[above] == y[i] - 1 and x1[above] < x0[i] - 1):
-                above += 1
-            j = above
-            while j < i and y[j] == y[i] - 1 and x0[j] <= x1[i] + 1:
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-                j += 1
-        order: dict[int, int] = {}
-        part["label"] = [order.setdefault(root(i), len(order) + 1) for i in range(len(y))]
+        root = connected(*(part[c].to_numpy() for c in ("y", "x0", "x1")))
+        part["label"] = np.unique(root, return_inverse=True)[1] + 1  # a region's first run is the least
         return part[["image_id", "label", "y", "x0", "x1"]]
 
     return runs.groupBy("image_id").applyInPandas(of, REGIONS)

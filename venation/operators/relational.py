@@ -54,18 +54,29 @@ def ordinals(rows: DataFrame, group: str, order: str, keep: Column) -> DataFrame
 
 
 def running_offset(rows: DataFrame, group: str, order: str, height: str, spacing: float) -> DataFrame:
-    """Place of each row's centre when all are stacked in the order of (group, order) with gaps.
+    """Place of each row's centre when all are stacked in the order of (group, order) with gaps. Null groups are one group, the first.
 
-    Totals of groups are added up first, so no window spans more than one group.
+    Totals of groups are added up first, so no window over rows spans more than one group; a window over the totals has a row a group.
     """
     step = F.col(height) + F.lit(spacing)
     totals = rows.groupBy(group).agg(F.sum(step).alias("total"), F.count("*").alias("size"))
-    every = totals.alias("a").join(totals.alias("b"), F.col(f"b.{group}") < F.col(f"a.{group}"), "left")
-    start = every.groupBy(F.col(f"a.{group}").alias(group)).agg(F.coalesce(F.sum("b.total"), F.lit(0.0)).alias("start"), F.coalesce(F.sum("b.size"), F.lit(0)).alias("before"))
+    before = W.orderBy(group).rowsBetween(W.unboundedPreceding, -1)
+    start = totals.select(F.col(group).alias("_group"), F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("start"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
     own = W.partitionBy(group).orderBy(order)
     inside = F.coalesce(F.sum(step).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    placed = rows.withColumn("inside", inside).withColumn("nth", F.row_number().over(own)).join(F.broadcast(start), group)  # a row a category
-    return placed.withColumn("offset", F.col("start") + F.col("inside") + F.col(height) / 2).withColumn("seq", F.col("before") + F.col("nth")).drop("start", "inside", "before", "nth")
+    placed = rows.withColumn("inside", inside).withColumn("nth", F.row_number().over(own)).join(start, F.col(group).eqNullSafe(F.col("_group")), "left")
+    return placed.withColumn("offset", F.col("start") + F.col("inside") + F.col(height) / 2).withColumn("seq", F.col("before") + F.col("nth")).drop("_group", "start", "inside", "before", "nth")
+
+
+def without_first(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """All rows but the first n in an order that tells all rows apart. Only those n go through one task; the others are filtered where they are."""
+    bound = rows.orderBy(*order).limit(n).agg(F.max(F.struct(*order)).alias("last"), F.count("*").alias("n"))
+    return rows.join(F.broadcast(bound), (F.col("n") == n) & (F.struct(*order) > F.col("last"))).select(*rows.columns) if n else rows
+
+
+def preferred(candidates: DataFrame, keys: list[str], rank: Column, path: str) -> DataFrame:
+    """Of each key's candidates those of the least rank that occurs, and of these the least path."""
+    return candidates.groupBy(*keys).agg(F.min(F.struct(rank.alias("rank"), F.col(path).alias(path)))[path].alias(path))
 
 
 def largest(rows: DataFrame, group: str, size: str, index: str) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 def material_nodes() -> list[tuple[str, str]]:
     """(id, type) of the nodes of a leaf's material."""
-    # A translucent leaf from three textures.
+    # A translucent leaf from three textures. The mask multiplies the normals, at a factor of 1.
     return [
         ("output", "output"), ("surface", "principled"), ("through", "translucent"), ("sum", "add_shader"), ("colour", "texture"),
-        ("normals", "texture"), ("mask", "texture"), ("tint", "hue_saturation"), ("bump", "normal_map"), ("mix", "mix_shader"),
+        ("normals", "texture"), ("mask", "texture"), ("tint", "hue_saturation"), ("bump", "normal_map"), ("masked", "mix_colour_multiply"),
     ]
 
 
@@ -19,9 +19,9 @@ def material_links() -> list[tuple[str, str, str, str]]:
     """(source, its socket, target, its socket)."""
     # Fixed values, as above.
     return [
-        ("colour", "Color", "surface", "Base Color"), ("colour", "Color", "tint", "Color"), ("tint", "Color", "through", "Color"), ("normals", "Color", "bump", "Color"),
-        ("bump", "Normal", "surface", "Normal"), ("bump", "Normal", "through", "Normal"), ("surface", "BSDF", "sum", "0"), ("through", "BSDF", "sum", "1"),
-        ("mask", "Color", "mix", "Fac"), ("mask", "Color", "surface", "Alpha"), ("sum", "Shader", "mix", "2"), ("mix", "Shader", "output", "Surface"),
+        ("colour", "Color", "surface", "Base Color"), ("colour", "Color", "tint", "Color"), ("tint", "Color", "through", "Color"), ("normals", "Color", "masked", "1"),
+        ("mask", "Color", "masked", "2"), ("masked", "Color", "bump", "Color"), ("bump", "Normal", "surface", "Normal"), ("bump", "Normal", "through", "Normal"),
+        ("mask", "Color", "surface", "Alpha"), ("surface", "BSDF", "sum", "0"), ("through", "BSDF", "sum", "1"), ("sum", "Shader", "output", "Surface"),
     ]
 
 
