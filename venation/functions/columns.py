@@ -124,6 +124,35 @@ def stage_side(h: Column, w: Column) -> Column:
     return (F.lit(32) * F.pow(F.lit(2.0), n - 1)).cast("int")
 
 
+def capped_size(w: Column, h: Column, most: int) -> tuple[Column, Column]:
+    """most x most if either side is longer; the aspect is not kept."""
+    over = (w > most) | (h > most)
+    return F.when(over, F.lit(most)).otherwise(w).cast("int"), F.when(over, F.lit(most)).otherwise(h).cast("int")
+
+
+def turned_size(h: Column, w: Column, degrees: Column) -> list[Column]:
+    """height and width of the picture that holds an h x w one turned about its middle."""
+    a = -F.radians(degrees - 360.0 * F.floor(degrees / 360.0))
+    c, s = F.round(F.cos(a), 15), F.round(F.sin(a), 15)
+    x, y = -c * w / 2 - s * h / 2 + w / F.lit(2.0), s * w / 2 - c * h / 2 + h / F.lit(2.0)
+    xs, ys = [x, c * w + x, c * w + s * h + x, s * h + x], [y, -s * w + y, -s * w + c * h + y, c * h + y]
+    side = lambda v: F.ceil(F.greatest(*v)) - F.floor(F.least(*v))
+    return [side(ys).cast("long").alias("height"), side(xs).cast("long").alias("width")]
+
+
+# --- arrays
+
+
+def zero_padded(values: Column, before: int, after: int) -> Column:
+    """An array with zeros put before and behind."""
+    return F.concat(F.array_repeat(F.lit(0.0), before), values, F.array_repeat(F.lit(0.0), after))
+
+
+def three_channels(values: Column) -> Column:
+    """A grey row as an array of three equal channels a pixel."""
+    return F.transform(values, lambda v: F.array(v, v, v))
+
+
 # --- optics
 
 

@@ -103,7 +103,14 @@ def flipped(pixels: DataFrame, h: int) -> DataFrame:
     return pixels.select("image_id", (F.lit(h - 1) - F.col("y")).alias("y"), "x")
 
 
-def cropped(runs: DataFrame, y0: Column, y1: Column, x0: Column, x1: Column) -> DataFrame:
+def cropped(runs: DataFrame, y0: Column, y1: Column, x0: Column, x1: Column, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Runs clipped to the half-open box and moved to its origin."""
     a, b = F.greatest(F.col("x0"), x0), F.least(F.col("x1"), x1 - 1)
-    return runs.where((F.col("y") >= y0) & (F.col("y") < y1) & (a <= b)).select("image_id", (F.col("y") - y0).alias("y"), (a - x0).alias("x0"), (b - x0).alias("x1"))
+    return runs.where((F.col("y") >= y0) & (F.col("y") < y1) & (a <= b)).select(*keys, (F.col("y") - y0).alias("y"), (a - x0).alias("x0"), (b - x0).alias("x1"))
+
+
+def under_mask(pixels: DataFrame, runs: DataFrame) -> DataFrame:
+    """Pixels (image_id, y, x, ..) with `inside`: whether a run of the mask holds them. Runs of a row don't meet, so none is matched twice."""
+    own = runs.select("image_id", "y", F.col("x0").alias("_x0"), F.col("x1").alias("_x1"))
+    joined = pixels.join(own, (pixels["image_id"] == own["image_id"]) & (pixels["y"] == own["y"]) & pixels["x"].between(own["_x0"], own["_x1"]), "left")
+    return joined.select(*(pixels[c] for c in pixels.columns), own["_x0"].isNotNull().alias("inside"))

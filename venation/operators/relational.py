@@ -101,3 +101,22 @@ def totals(rows: DataFrame, levels: list[str]) -> DataFrame:
 def statuses(rows: DataFrame, problem: Column) -> DataFrame:
     """Rows with status 'ok' or 'error' and the reason, in place of dropping those that fail."""
     return rows.withColumn("reason", problem).withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("error"))
+
+
+def with_greatest(rows: DataFrame, group: str, value: Column, name: str) -> DataFrame:
+    """Rows with the greatest value of their group. Totals are joined back, so that no group is gathered."""
+    return rows.join(rows.groupBy(group).agg(F.max(value).alias(name)), group)
+
+
+def with_empty(pictures: DataFrame, runs: DataFrame, key: str) -> DataFrame:
+    """Every picture with its area; those without runs have the status 'skipped' and a reason."""
+    area = runs.groupBy(key).agg(F.sum(F.col("x1") - F.col("x0") + 1).cast("long").alias("area"))
+    reason = F.when(F.col("area") == 0, "no foreground")
+    out = pictures.join(area, key, "left").withColumn("area", F.coalesce("area", F.lit(0).cast("long")))
+    return out.withColumn("reason", reason).withColumn("status", F.when(reason.isNull(), "ok").otherwise("skipped"))
+
+
+def with_resize(pictures: DataFrame, others: DataFrame, key: str, size: str, other_size: str) -> DataFrame:
+    """Pictures beside another of the same key, if there is one, and whether that has another size and must be resampled."""
+    joined = pictures.join(others, key, "left").withColumn("found", F.col(other_size).isNotNull())
+    return joined.withColumn("resized", F.coalesce(F.col(other_size) != F.col(size), F.lit(False)))

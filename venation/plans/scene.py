@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import relational as L
+
 
 def material_nodes() -> list[tuple[str, str]]:
     """(id, type) of the nodes of a leaf's material."""
@@ -39,9 +41,27 @@ def extent(corners: str, axis: str):
     return F.array_max(values) - F.array_min(values)
 
 
-def scaled_to_size(meshes: DataFrame, sizes: DataFrame, use_sizes: bool = False) -> DataFrame:
+def upturned(corners: str):
+    """An array of corner structs turned half about the x axis."""
+    return F.transform(F.col(corners), lambda c: F.struct(c["x"].alias("x"), (-c["y"]).alias("y"), (-c["z"]).alias("z")))
+
+
+def scaled_to_size(meshes: DataFrame, sizes: DataFrame | None, use_sizes: bool = False) -> DataFrame:
     """Meshes (mesh_name, height) with a factor that brings them to their measured height in metres; 1 unless asked for."""
-    if not use_sizes:
+    if not use_sizes or sizes is None:
         return meshes.withColumn("factor", F.lit(1.0))
     joined = meshes.join(sizes.select("mesh_name", "height_cm"), "mesh_name", "left")
-    return joined.withColumn("factor", F.coalesce(F.try_divide(F.col("height_cm") / 100, F.col("height")), F.lit(1.0))).drop("height_cm")
+    return joined.withColumn("factor", F.coalesce(F.when(F.col("height") > 0, F.try_divide(F.col("height_cm") / 100, F.col("height"))), F.lit(1.0))).drop("height_cm")
+
+
+def placed(meshes: DataFrame, sizes: DataFrame | None = None, spacing: float = 0.5, use_sizes: bool = False) -> DataFrame:
+    """Where each mesh (object_name, mesh_name, corners of its box) stands: seq, height, factor, x, y, z.
+
+    Meshes are turned half about the x axis, brought to their measured size if asked for, stacked along y in the order of
+    (object_name, mesh_name) with gaps, and dropped so that the lowest corner is at z = 0.
+    """
+    up = meshes.withColumn("corners", upturned("corners"))
+    sized = scaled_to_size(up.withColumn("height", extent("corners", "y")).withColumn("low", F.array_min(F.transform("corners", lambda c: c["z"]))), sizes, use_sizes)
+    sized = sized.withColumn("height", F.col("height") * F.col("factor")).withColumn("low", F.col("low") * F.col("factor")).drop("corners")
+    stacked = L.running_offset(sized, "object_name", "mesh_name", "height", spacing)
+    return stacked.select("object_name", "mesh_name", "seq", "height", "factor", F.lit(0.0).alias("x"), F.col("offset").alias("y"), (-F.col("low")).alias("z"))
