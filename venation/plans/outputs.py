@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import relational as L
-from .workers import with_package
+from .workers import settled, with_package
 
 
 def camera(w, h, focal):
@@ -80,12 +80,10 @@ def write_files(files: DataFrame, content: str = "content") -> DataFrame:
     """Writes each row's content (binary or text) to its path: (path, bytes) of what was written. Folders are made; files that are there are replaced whole."""
 
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for part in parts:
             for path, data in zip(part["path"], part["data"]):
                 data = data.encode() if isinstance(data, str) else bytes(data)
-                system, place = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+                system, place = _system(path)
                 system.create_dir(place.rsplit("/", 1)[0], recursive=True)
                 own = f"{place}.{uuid.uuid4().hex}.part"
                 with system.open_output_stream(own) as out:
@@ -108,3 +106,42 @@ def measured_heights(records: DataFrame) -> DataFrame:
     shape = "leaves map<string, struct<dimensions: struct<height_cm: double>>>"
     rows = records.select("object_name", F.explode(F.from_json("json", shape)["leaves"]).alias("leaf", "r"))
     return rows.select(F.concat_ws("_", "object_name", "leaf").alias("mesh_name"), F.col("r.dimensions.height_cm").alias("height_cm"))
+
+
+def _system(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+
+
+def move_files(files: DataFrame) -> DataFrame:
+    """Moves each row's path to its new_path, in place of what is there: (path, new_path). A file that is there already from an earlier try counts as moved."""
+
+    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for part in parts:
+            for path, new_path in zip(part["path"], part["new_path"]):
+                (system, old), (_, new) = _system(path), _system(new_path)
+                if system.get_file_info(old).type == fs.FileType.File:
+                    system.create_dir(new.rsplit("/", 1)[0], recursive=True)
+                    system.move(old, new)
+                yield pd.DataFrame({"path": [path], "new_path": [new_path]})
+
+    return with_package(settled(files.select("path", "new_path"))).mapInPandas(of, "path string, new_path string")
+
+
+def delete_folders(folders: DataFrame) -> DataFrame:
+    """Deletes folders (path) with all that is in them: path of each; ones that aren't there are passed over."""
+
+    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for part in parts:
+            for path in part["path"]:
+                system, place = _system(path)
+                if system.get_file_info(place).type == fs.FileType.Directory:
+                    system.delete_dir(place)
+            yield part[["path"]]
+
+    return with_package(folders).select("path").mapInPandas(of, "path string")

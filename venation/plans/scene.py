@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators import relational as L
 
 
@@ -65,3 +66,15 @@ def placed(meshes: DataFrame, sizes: DataFrame | None = None, spacing: float = 0
     sized = sized.withColumn("height", F.col("height") * F.col("factor")).withColumn("low", F.col("low") * F.col("factor")).drop("corners")
     stacked = L.running_offset(sized, "object_name", "mesh_name", "height", spacing)
     return stacked.select("object_name", "mesh_name", "seq", "height", "factor", F.lit(0.0).alias("x"), F.col("offset").alias("y"), (-F.col("low")).alias("z"))
+
+
+def collections(leaves: DataFrame) -> DataFrame:
+    """(name, parent, members) of the collections of leaves (object_name, leaf): below one root, a category's, below that the subcategory's.
+
+    A name is one collection wherever it is met, below the parent that it was first met under.
+    """
+    named = leaves.select("object_name", "leaf", C.parse_asset_name(F.col("object_name")).alias("n")).select("object_name", "leaf", "n.*")
+    order = F.struct("object_name", "leaf")
+    rows = named.select(F.lit("LeafMeshes").alias("parent_name"), F.col("category").alias("name"), order.alias("met"), F.lit(0).alias("depth"))
+    rows = rows.unionByName(named.select(F.col("category").alias("parent_name"), F.col("subcategory").alias("name"), order.alias("met"), F.lit(1).alias("depth")))
+    return L.global_collections(rows.withColumn("met", F.struct("met", "depth")), "parent_name", "name", "met")

@@ -1,4 +1,4 @@
-"""Stages over folders of photographs: ingest, extract, normals, organise, measure. Each is DataFrame to DataFrame.
+"""Stages over photographs: decode, ingest, masks, measure, organise; leaves.py cuts them out, run.py goes from folder to files.
 
 Pictures travel as Spark's image struct (height, width, nChannels, data). A stage gives every row a status and a reason, in
 place of leaving out what fails. Decoders of raw photographs, segmenters and models of normals are passed in as functions on
@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -62,6 +62,25 @@ def decoded(files: DataFrame, decode: Callable[[bytes], np.ndarray] = png.decode
     return with_package(files.select("path", "content")).mapInPandas(of, PICTURE + ", status string, reason string")
 
 
+def images(spark: SparkSession, path: str, as_grey: bool = False) -> DataFrame:
+    """Pictures below a path by Spark's own image source, which reads JPEG, PNG, GIF and BMP: red, green, blue (and alpha), or grey. What it can't read has a status and a reason."""
+    found = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", "true").load(path).select("image.*")
+
+    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row in part.itertuples():
+                if row.height < 0:
+                    got = (row.origin, None, None, None, None, "error", "not a picture")
+                else:
+                    out = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels)
+                    out = out[..., [2, 1, 0, 3][: row.nChannels]] if row.nChannels > 1 else out  # the source gives blue first
+                    out = np.ascontiguousarray(png.grey(out) if as_grey else out)
+                    got = (row.origin, *out.shape, out.tobytes(), "ok", None)
+                yield pd.DataFrame([got], columns=["path", "height", "width", "channels", "data", "status", "reason"])
+
+    return with_package(found.select("origin", "height", "width", "nChannels", "data")).mapInPandas(of, PICTURE + ", status string, reason string")
+
+
 def ingest(pictures: DataFrame, resolution: int = 1920) -> DataFrame:
     """Decoded pictures fitted to the resolution."""
     return _mapped(pictures, lambda a: K.fit(a, resolution))
@@ -106,6 +125,22 @@ def summary(leaves: DataFrame) -> DataFrame:
     return by.select("image_id", F.to_json(F.struct("leaf_count", "leaves"), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def square(pictures: DataFrame, size: int = 1024, background: tuple[int, int, int] = (255, 255, 255)) -> DataFrame:
+    """Decoded pictures fitted and centred on squares of one colour."""
+    return _mapped(pictures, lambda a: K.letterbox(K.three_channels(a), size, size, background))
+
+
+def fitted(pictures: DataFrame, height: int, width: int) -> DataFrame:
+    """Decoded pictures fitted into height x width, black beside."""
+    return _mapped(pictures, lambda a: K.letterbox(K.three_channels(a), height, width, (0, 0, 0)))
+
+
+def in_raw_folder(files: DataFrame) -> DataFrame:
+    """New path of raw files that lie loose in their object's folder: below `raw`. Others keep theirs."""
+    loose = F.col("folder").isNull()
+    return files.where("role = 'raw'").withColumn("new_path", F.when(loose, F.regexp_replace("path", r"/([^/]*)$", "/raw/$1")).otherwise(F.col("path")))
+
+
 def organise(files: DataFrame) -> DataFrame:
     """New path of each texture (object_name, leaf, role, path): below its leaf's processed folder."""
     name = F.format_string("%s_%s.png", F.col("leaf"), F.col("role"))

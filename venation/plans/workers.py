@@ -1,8 +1,12 @@
-"""Worker processes that find this package."""
+"""Worker processes that find this package, and tables that later steps can rely on."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -14,3 +18,19 @@ def with_package(df: DataFrame) -> DataFrame:
     now = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p and p != root]
     env["PYTHONPATH"] = os.pathsep.join([root, *now])
     return df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the folder that all executors share (spark.checkpoint.dir) and read again: what it was made from may change now."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="venation-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        folder = f"file://{made}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/venation/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

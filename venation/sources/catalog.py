@@ -7,6 +7,7 @@ own: a Python data source, read on the executors, a partition for each root.
 from __future__ import annotations
 
 import os
+import re
 import struct
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import columns as C
+from ..operators import relational as L
+from ..plans.workers import with_package
 
 RAW, PICTURES = "*.{NEF,nef}", "*.{png,jpg,jpeg,PNG,JPG,JPEG}"
 
@@ -31,9 +34,17 @@ class _Reader(DataSourceReader):
         return [_Root(r) for r in self.roots]
 
     def read(self, partition):
-        for entry in sorted(os.scandir(partition.path), key=lambda e: e.name):
-            if entry.is_dir():
-                yield entry.name, entry.path
+        if "://" not in partition.path:
+            for entry in sorted(os.scandir(partition.path), key=lambda e: e.name):
+                if entry.is_dir():
+                    yield entry.name, entry.path
+            return
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(partition.path)
+        for entry in sorted(system.get_file_info(fs.FileSelector(place)), key=lambda e: e.base_name):
+            if entry.type == fs.FileType.Directory:
+                yield entry.base_name, f"{partition.path.rstrip('/')}/{entry.base_name}"
 
 
 class Folders(DataSource):
@@ -55,13 +66,41 @@ def folders(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("folders").load(root)
 
 
+def leaf_folders(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The `leaf_` folders in some folders: leaf, path."""
+    return folders(spark, ",".join(paths)).where(C.is_leaf_folder(F.col("object_name"))).withColumnRenamed("object_name", "leaf")
+
+
 def files(spark: SparkSession, root: str, pattern: str, content: bool = False) -> DataFrame:
-    """Files below root whose names match: object_name, folder, name, stem, path, length (and content)."""
+    """Files below root whose names match: object_name, leaf, folder, name, stem, role, path, length (and content).
+
+    The folders below root say whose a file is: `<object>/<file>`, `<object>/<folder>/<file>`, with `leaf_` folders on the way.
+    Roles are by name: diffuse, mask, normal, raw, or companion.
+    """
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
-    rest = F.split(F.col("path"), "/")
-    name = C.basename(F.col("path"))
-    out = found.select(F.element_at(rest, -3).alias("object_name"), F.element_at(rest, -2).alias("folder"), name.alias("name"), C.stem(name).alias("stem"), "path", "length", *(["content"] if content else []))
-    return out
+    base = re.sub(r"^\w+:/*", "/", root).rstrip("/")
+    rest = F.split(F.regexp_replace("path", r"^\w+:/*" + re.escape(base) + "/", ""), "/")
+    name = F.element_at(rest, -1)
+    role = F.when(name.endswith("_diffuse.png"), "diffuse").when(name.endswith("_mask.png"), "mask").when(name.endswith("_normal.png"), "normal").when(F.lower(name).endswith(".nef"), "raw").otherwise("companion")
+    leaf = F.get(F.filter(F.slice(rest, 1, F.greatest(F.size(rest) - 1, F.lit(0))), C.is_leaf_folder), 0)
+    return found.select(
+        F.when(F.size(rest) > 1, rest[0]).alias("object_name"), leaf.alias("leaf"), F.when(F.size(rest) > 2, F.element_at(rest, -2)).alias("folder"),
+        name.alias("name"), C.stem(name).alias("stem"), role.alias("role"), "path", "length", *(["content"] if content else []),
+    )
+
+
+def textures(found: DataFrame) -> DataFrame:
+    """(object_name, leaf, mask, diffuse, normal): the textures of each leaf that has all three, from its processed folder, else from beside it."""
+    rows = found.where(F.col("role").isin("mask", "diffuse", "normal") & F.col("leaf").isNotNull())
+    inner = rows.groupBy("object_name", "leaf").agg(F.max(F.col("folder") == "processed").alias("_inner"))
+    rows = rows.join(inner, ["object_name", "leaf"]).where((F.col("folder") == "processed") | ~F.col("_inner"))
+    key = F.struct("object_name", "leaf")
+    return L.with_all_roles(rows.withColumn("k", key), "k", "role", "path", ["mask", "diffuse", "normal"]).select("k.*", "mask", "diffuse", "normal")
+
+
+def focal_lengths(found: DataFrame) -> DataFrame:
+    """Files with content, and `printed`: the focal length that each one's EXIF block names."""
+    return with_package(found).withColumn("printed", F.udf(lambda data: focal_length(bytes(data)), "string", useArrow=True)("content"))
 
 
 def focal_length(data: bytes) -> str | None:
