@@ -111,6 +111,12 @@ def test_plan_places_every_piece_once():
     assert len(used) <= 1.02 * -(-sum(k * n for k, n in histogram.items()) // 2048) + 1
 
 
+def test_order_of_rows_changes_no_score(spark):
+    docs = table(spark, SMALL, "documents")
+    score = lambda df: {r["doc_id"]: (round(r["score"], 6), r["n_known"], r["mix"]) for r in automaton.lm_scores(df).collect()}
+    assert score(docs) == score(docs.repartition(3).orderBy(F.rand()))
+
+
 def test_automaton_against_a_plain_walk(spark, docs):
     import zlib
     from math import log10

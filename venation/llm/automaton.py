@@ -13,8 +13,9 @@ for any unknown word, carries the mass that absolute discounting takes from the
 Each state's probabilities sum to 1. A text is read once, left to right; the state is carried and weights are summed.
 `mix` is chosen from MIXES by leave-one-out likelihood of all training tokens.
 
-The corpus has far more words and pairs than a machine can hold, so no task holds the automaton. Texts are read in blocks
-of about BLOCK bytes. A block asks for the words and pairs it has, each once, with its own training counts; requests are
+The corpus has far more words and pairs than a machine can hold, so no task holds the automaton. Texts are read once, in blocks
+of about BLOCK bytes, which are written as tokens; both passes below read those, so that the order of the texts, or an executor
+that is lost, changes nothing. A block asks for the words and pairs it has, each once, with its own training counts; requests are
 sorted 64-bit hashes, dealt out by their upper bits and packed as differences. A bucket sums the counts of all blocks and
 answers each block in the order it asked. The block's part of the automaton (states, arcs and failure arcs that its texts
 can reach) is built from the answers. A frequent word is asked for once a block, so it makes no bucket large. The number
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fold, ship, written
+from ._shared import fold, forget, ship, written
 from ._text import U, hashes, mix, pack, runs, spans, unpack, utf8
 
 BLOCK = 6 << 20
@@ -77,10 +78,21 @@ class Block:
         self.train = np.repeat(~np.array(self.held, bool), self.size)
 
 
-def blocks(batches, folds: int, held_out: int):
-    """The blocks of one partition of (doc_id, held, text), in its order."""
+ENCODED = "block long, keys binary, which binary, size binary, ids array<long>, held array<boolean>"
+
+
+def encoded(batches):
+    """The blocks of one partition of (doc_id, held, text), as rows of ENCODED."""
     part = TaskContext.get().partitionId()
     now = Block(part << 32)
+
+    def row(block: Block) -> pa.RecordBatch:
+        block.close()
+        keys, which = np.unique(block.tokens, return_inverse=True)
+        values = [block.number, pack(keys), planes(which.astype("<u4")), planes(block.size.astype("<u4")), block.ids, block.held]
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()))
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds)], ["block", "keys", "which", "size", "ids", "held"])
+
     for batch in batches:
         data, offsets = utf8(batch.column(2))
         ids, held = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -89,12 +101,20 @@ def blocks(batches, folds: int, held_out: int):
             starts, ends, first = spans(own, where)
             now.add(ids[lo:hi], held[lo:hi], hashes(own, starts, ends, True), first, len(own))
             if now.bytes >= BLOCK:
-                now.close()
-                yield now
+                yield row(now)
                 now = Block(now.number + 1)
     if now.parts:
-        now.close()
-        yield now
+        yield row(now)
+
+
+def restored(row: dict) -> Block:
+    """The block of a row of ENCODED."""
+    block = Block(row["block"])
+    block.ids, block.held = row["ids"], row["held"]
+    block.tokens = unpack(row["keys"])[unplanes(row["which"], "<u4")]
+    block.size = unplanes(row["size"], "<u4").astype(np.int64)
+    block.train = np.repeat(~np.array(block.held, bool), block.size)
+    return block
 
 
 def before(tokens: np.ndarray) -> np.ndarray:
@@ -102,10 +122,10 @@ def before(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate([[END], tokens[:-1]])
 
 
-def requests(batches, buckets: int, folds: int, held_out: int):
+def requests(batches, buckets: int):
     """(kind, bucket, block, keys, counts): words (kind 1) and pairs (2) of each block with their training counts."""
     shift = U(64 - buckets.bit_length() + 1)
-    for block in blocks(batches, folds, held_out):
+    for block in (restored(batch.slice(i, 1).to_pylist()[0]) for batch in batches for i in range(len(batch))):
         rows: list[list] = [[], [], [], [], []]
         for kind, every in ((1, block.tokens), (2, pair_hash(before(block.tokens), block.tokens))):
             keys, which = np.unique(every, return_inverse=True)
@@ -156,8 +176,6 @@ def traverse(block: Block, words: np.ndarray, pairs: np.ndarray, scalars: dict,
     """Each text's tokens, known tokens, base score and score for each of MIXES; and the training tokens' leave-one-out sums for MIXES."""
     keys, word = np.unique(block.tokens, return_inverse=True)
     pair_keys, arc = np.unique(pair_hash(before(block.tokens), block.tokens), return_inverse=True)
-    if len(keys) != len(words) or len(pair_keys) != len(pairs):
-        raise ValueError("the texts were not read alike twice; write them to a table first")
     state = np.concatenate([[np.searchsorted(keys, END)], word[:-1]])  # a text's first state is the one that the end token before it leads to
     n, v = scalars["n"], scalars["v"]
     automaton = Automaton(words, pairs, n, v, scalars["n1"], scalars["n2"])
@@ -180,43 +198,34 @@ def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
 
     Learnt from the documents whose crc32(doc_id as text) modulo `folds` is not `held_out`. Words are runs of bytes other
     than white space, A-Z lower-cased; each text has one end token more. Null and empty texts have only that. If there is
-    nothing to learn from, every word is unknown. Repeated rows count and are scored as often as they occur. Extra columns
-    are ignored. The texts are read twice and must come in the same order both times, as files do.
+    nothing to learn from, every word is unknown. Very long texts are a block of their own. Repeated rows count and are scored
+    as often as they occur. An empty table gives no rows. Extra columns are ignored. The order of the rows has no effect.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long"), (fold("doc_id", folds) == held_out).alias("held"), F.col("text").cast("string"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << max(4, int(np.ceil(np.log2(max(1, size / BUCKET_BYTES)))))
-    asked = docs.mapInArrow(lambda batches: requests(batches, buckets, folds, held_out), "kind int, bucket int, block long, keys binary, counts binary")
+    texts = written(docs.mapInArrow(encoded, ENCODED), "blocks")
+    asked = texts.mapInArrow(lambda batches: requests(batches, buckets), "kind int, bucket int, block long, keys binary, counts binary")
     told = asked.groupBy("kind", "bucket").applyInArrow(answers, "kind int, bucket int, block long, counts binary, v long, n1 long, n2 long, n long")
     told = written(told, "answers")
     sums = told.where("block = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v", "n1", "n2", "n"))).first().asDict()
 
-    def encoded(batches):
-        for block in blocks(batches, folds, held_out):
-            keys, which = np.unique(block.tokens, return_inverse=True)
-            row = [block.number, pack(keys), planes(which.astype("<u4")), planes(block.size.astype("<u4")), pa.scalar(block.ids, pa.list_(pa.int64())), block.held]
-            yield pa.RecordBatch.from_arrays([pa.array([x if not isinstance(x, pa.Scalar) else x.as_py()], t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_())))], ["block", "keys", "which", "size", "ids", "held"])
-
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = left.to_pylist()[0]
-        block = Block(rows["block"])
-        block.tokens = unpack(rows["keys"])[unplanes(rows["which"], "<u4")]
-        block.size = unplanes(rows["size"], "<u4").astype(np.int64)
-        block.train = np.repeat(~np.array(rows["held"], bool), block.size)
+        block = restored(left.to_pylist()[0])
         right = right.sort_by("bucket")
         found = [np.concatenate([unplanes(x, "<u8") for k, x in zip(right["kind"].to_pylist(), right["counts"].to_pylist()) if k == kind]) for kind in (1, 2)]
         known, base, scores, left_out = traverse(block, *found, sums)
         n = len(block.size)
         return pa.Table.from_arrays(
-            [pa.array(rows["ids"], pa.int64()), pa.array(rows["held"], pa.bool_()), pa.array(block.size), pa.array(known.astype(np.int64)), pa.array(base), pa.array(list(scores), pa.list_(pa.float64())), pa.array([left_out] + [None] * (n - 1), pa.list_(pa.float64()))],
+            [pa.array(block.ids, pa.int64()), pa.array(block.held, pa.bool_()), pa.array(block.size), pa.array(known.astype(np.int64)), pa.array(base), pa.array(list(scores), pa.list_(pa.float64())), pa.array([left_out] + [None] * (n - 1), pa.list_(pa.float64()))],
             ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "scores", "left_out"],
         )
 
-    texts = docs.mapInArrow(encoded, "block long, keys binary, which binary, size binary, ids array<long>, held array<boolean>")
     scored = texts.groupBy("block").cogroup(told.where("block >= 0").select("block", "kind", "bucket", "counts").groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, left_out array<double>")
     scored = written(scored, "scores")
+    forget(texts, told)
     totals = scored.where("left_out is not null").agg(*(F.sum(F.col("left_out")[i]).alias(f"m{i}") for i in range(len(MIXES)))).first()
     best = max(range(len(MIXES)), key=lambda i: (round(totals[i], 3), -i)) if totals[0] is not None else 0
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(sums["n"])).cast("long").alias("train_tokens"), "base_score", F.col("scores")[best].alias("score"), F.lit(float(MIXES[best])).alias("mix"))
