@@ -9,7 +9,8 @@ at most r = q * m + e bits then, by the pigeonhole principle, one of the first e
 one of the others in at most q - 1. So a query asks each substring's part of the table for all values within those radii, and
 an equi-join brings every row whose code is within r, and others that share a substring nearly. Of these, rows whose whole code
 is farther than `reach` bits are dropped, and the rest are ranked by cosine of the original vectors in double precision.
-Substrings have log2(rows) - 4 bits or so, so that a value has some rows whatever the size of the table.
+Substrings have `width` bits, a parameter, so that a query asks for about as many values whatever the size of the table; for
+tables of billions of rows 16 to 20 bits keep the rows of one value few.
 
 r is the least radius for which the probes bring a share of TARGET of the sample queries' true neighbours, `reach` the distance
 that REACH of them lie within. Of a sample that is a share f of all rows, the k * f nearest stand for the k nearest of all.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ._shared import forget, ship, written
 
-BITS, SAMPLE, SAMPLE_VALUES, TARGET, REACH = 256, 12_000, 8_000_000, 0.95, 0.985
+BITS, WIDTH, SAMPLE, SAMPLE_VALUES, TARGET, REACH = 256, 12, 12_000, 8_000_000, 0.95, 0.985
 #: Bytes of the queries' vectors up to which they are broadcast to be ranked; beyond, they are joined by a shuffle.
 SMALL = 32 << 20
 WORDS = BITS // 64
@@ -59,7 +60,7 @@ def masks(bits: int, radius: int) -> np.ndarray:
 class Codes:
     """A learnt map from vectors to codes, their substrings, and the radii of a search."""
 
-    def __init__(self, sample: np.ndarray, rows: int, k: int, seed: int = 5):
+    def __init__(self, sample: np.ndarray, rows: int, k: int, width: int = WIDTH, seed: int = 5):
         rng, x = np.random.default_rng(seed), directions(sample)
         self.mean = x.mean(axis=0)
         axes = np.linalg.svd((x - self.mean).T @ (x - self.mean))[0][:, :BITS]
@@ -72,8 +73,7 @@ class Codes:
                 r = (left @ right).T
             maps.append(axes @ r)
         self.map = np.concatenate(maps, axis=1)[:, :BITS]
-        self.width = int(np.clip(round(np.log2(max(rows, 2))) - 4, 8, 20))
-        self.count = BITS // self.width
+        self.width, self.count = width, BITS // width
         self._learn(x, sample, max(1, round(k * len(x) / max(rows, 1))), rng)
 
     def bits(self, vectors: np.ndarray) -> np.ndarray:
@@ -166,13 +166,13 @@ def scored(pairs: DataFrame, entries: DataFrame, queries: DataFrame, small: bool
     return both.select("q", "id", "x", "y").mapInArrow(of, "q long, id long, score double")
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, width: int = WIDTH) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row whose vec_id is divisible by `every`, itself left out.
 
     Ties go to the smaller vec_id; equal vectors tie. Vectors that are null, zero, or hold null or non-finite components
     take no part, nor do rows with a null id. Rows that repeat an id are rows of their own: each is a candidate, and each is a
     query with answers of its own. Vectors of each dimension have an index of their own, as no cosine is defined between
-    dimensions. Extra columns are ignored; an empty table gives no rows.
+    dimensions. width: bits of a substring. Extra columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -180,11 +180,11 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     whole = whole.where("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(embedding, x -> x <> 0)")
     whole = whole.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))  # no negative zero
     whole = written(whole.withColumns({"row": F.monotonically_increasing_id(), "h": F.xxhash64("embedding"), "d": F.size("embedding")}), "vectors")
-    out = [_of_dimension(whole.where(F.col("d") == r["d"]), r["count"], k, every) for r in whole.groupBy("d").count().orderBy("d").collect()]  # a row a dimension
+    out = [_of_dimension(whole.where(F.col("d") == r["d"]), r["count"], k, every, width) for r in whole.groupBy("d").count().orderBy("d").collect()]  # a row a dimension
     return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], OUT)
 
 
-def _of_dimension(whole: DataFrame, total: int, k: int, every: int) -> DataFrame:
+def _of_dimension(whole: DataFrame, total: int, k: int, every: int, width: int) -> DataFrame:
     spark, same = whole.sparkSession, ["h", "embedding"]
     first = whole.withColumn("nth", F.row_number().over(W.partitionBy(*same).orderBy("vec_id", "row"))).where(F.col("nth") <= k + 1)
     entries = first.groupBy(*same).agg(F.array_sort(F.collect_list(F.struct("vec_id", "row"))).alias("members"))  # k + 1 at most
@@ -194,7 +194,7 @@ def _of_dimension(whole: DataFrame, total: int, k: int, every: int) -> DataFrame
     n, values = entries.count(), len(entries.first()["embedding"])
     most = min(SAMPLE, max(500, SAMPLE_VALUES // values))
     drawn = entries if n <= most else entries.where(F.expr("pmod(xxhash64(id, 3), 1000000)") < int(1_000_000 * most / n))
-    codes = Codes(_matrix(drawn.select("id", "embedding").toArrow().sort_by("id")["embedding"]), n, k)
+    codes = Codes(_matrix(drawn.select("id", "embedding").toArrow().sort_by("id")["embedding"]), n, k, width)
     shared = spark.sparkContext.broadcast(codes)  # one matrix of BITS columns
     index = written(table(entries, shared), "index")
     todo = written(entries.join(asked.select(F.col("q").alias("id")).distinct(), "id", "left_semi").select("id", "embedding"), "queries")
