@@ -154,16 +154,16 @@ def candidates(index: DataFrame, asked: DataFrame, reach: int) -> DataFrame:
 
 
 def scored(pairs: DataFrame, entries: DataFrame, queries: DataFrame, small: bool) -> DataFrame:
-    """(q, id, first, members, score): the cosine of each pair."""
+    """(q, id, first, score): the cosine of each pair. first: the entry's least vec_id."""
 
     def of(batches):
         for batch in batches:
-            score = cosines(_matrix(batch.column(2)), _matrix(batch.column(3))) if len(batch) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["q", "id", "score"])
+            score = cosines(_matrix(batch.column(3)), _matrix(batch.column(4))) if len(batch) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(score)], ["q", "id", "first", "score"])
 
     asked = queries.select(F.col("id").alias("q"), F.col("embedding").alias("y"))
-    both = pairs.join(entries.select("id", F.col("embedding").alias("x")), "id").join(F.broadcast(asked) if small else asked, "q")
-    return both.select("q", "id", "x", "y").mapInArrow(of, "q long, id long, score double")
+    both = pairs.join(entries.select("id", F.col("members")[0]["vec_id"].alias("first"), F.col("embedding").alias("x")), "id").join(F.broadcast(asked) if small else asked, "q")
+    return both.select("q", "id", "first", "x", "y").mapInArrow(of, "q long, id long, first long, score double")
 
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, width: int = WIDTH) -> DataFrame:
@@ -202,10 +202,9 @@ def _of_dimension(whole: DataFrame, total: int, k: int, every: int, width: int)
     while count := todo.count():
         pairs = candidates(index, probes(todo, shared, radius), reach)
         near = scored(pairs, entries, todo, count * values * 8 <= SMALL)
-        near = near.join(entries.select("id", "members"), "id").withColumn("first", F.col("members")[0]["vec_id"])
-        # the k + 1 best entries of a query hold its k + 1 best rows; members are exploded only then
+        # the k + 1 best entries of a query hold its k + 1 best rows; members are looked up only then
         best = near.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "first"))).where(F.col("nth") <= k + 1)
-        rows = best.select("q", "score", F.explode("members").alias("m")).groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), F.col("m.vec_id").alias("vec_id"), F.col("m.row").alias("row"), "score"))), 1, k + 1).alias("best"))
+        rows = best.join(entries.select("id", "members"), "id").select("q", "score", F.explode("members").alias("m")).groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), F.col("m.vec_id").alias("vec_id"), F.col("m.row").alias("row"), "score"))), 1, k + 1).alias("best"))
         got = written(rows, "found")
         last = radius >= BITS
         found.append(got if last else got.where(F.size("best") >= min(k + 1, total)))
