@@ -2,9 +2,9 @@
 
 Codes. On a bounded sample the vectors' directions are centred and rotated onto their principal axes, and rotations are
 learnt, from different starts, that bring them close to the corners of a cube (iterative quantisation). A code is the signs
-along them, BITS in all.
+along them, BITS in all. The first INDEXED of them are searched by; all of them tell near rows from far ones.
 
-Index. A code is cut into m substrings of s bits; the index is a table of (substring number, value, row). If two codes differ in
+Index. What is searched by is cut into m substrings of s bits; the index is a table of (substring number, value, row). If two codes differ in
 at most r = q * m + e bits then, by the pigeonhole principle, one of the first e + 1 substrings differs in at most q bits or
 one of the others in at most q - 1. So a query asks each substring's part of the table for all values within those radii, and
 an equi-join brings every row whose code is within r, and others that share a substring nearly. Of these, rows whose whole code
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ._shared import forget, ship, written
 
-BITS, WIDTH, SAMPLE, SAMPLE_VALUES, TARGET, REACH = 256, 12, 12_000, 8_000_000, 0.95, 0.985
+BITS, INDEXED, WIDTH, SAMPLE, SAMPLE_VALUES, TARGET, REACH = 512, 256, 12, 12_000, 8_000_000, 0.95, 0.985
 #: Bytes of the queries' vectors up to which they are broadcast to be ranked; beyond, they are joined by a shuffle.
 SMALL = 32 << 20
 WORDS = BITS // 64
@@ -73,7 +73,7 @@ class Codes:
                 r = (left @ right).T
             maps.append(axes @ r)
         self.map = np.concatenate(maps, axis=1)[:, :BITS]
-        self.width, self.count = width, BITS // width
+        self.width, self.count = width, INDEXED // width
         self._learn(x, sample, max(1, round(k * len(x) / max(rows, 1))), rng)
 
     def bits(self, vectors: np.ndarray) -> np.ndarray:
@@ -98,10 +98,10 @@ class Codes:
             far.append(np.bitwise_count(parts[best] ^ parts[i]))
             whole.append((bits[best] != bits[i]).sum(axis=1))
         far, whole = np.concatenate(far), np.concatenate(whole)
-        self.reach, self.radius = BITS, BITS
+        self.reach, self.radius = BITS, INDEXED
         if len(whole):
             self.reach = int(np.quantile(whole, REACH, method="higher"))
-            self.radius = next((r for r in range(BITS) if (far <= radii(r, self.count)).any(axis=1).mean() >= TARGET), BITS)
+            self.radius = next((r for r in range(INDEXED) if (far <= radii(r, self.count)).any(axis=1).mean() >= TARGET), INDEXED)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -206,13 +206,13 @@ def _of_dimension(whole: DataFrame, total: int, k: int, every: int, width: int)
         best = near.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "first"))).where(F.col("nth") <= k + 1)
         rows = best.join(entries.select("id", "members"), "id").select("q", "score", F.explode("members").alias("m")).groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), F.col("m.vec_id").alias("vec_id"), F.col("m.row").alias("row"), "score"))), 1, k + 1).alias("best"))
         got = written(rows, "found")
-        last = radius >= BITS
+        last = radius >= INDEXED
         found.append(got if last else got.where(F.size("best") >= min(k + 1, total)))
         if last:
             break
         left = written(todo.join(found[-1].select(F.col("q").alias("id")), "id", "left_anti"), "queries")
         forget(todo)
-        todo, radius, reach = left, min(BITS, 2 * radius + 1), min(BITS, 2 * reach)
+        todo, radius, reach = left, min(INDEXED, 2 * radius + 1), min(BITS, 2 * reach)
     if not found:
         return spark.createDataFrame([], OUT)
     answers = asked.join(reduce(DataFrame.unionByName, found), "q")
