@@ -113,7 +113,7 @@ def test_plan_places_every_piece_once():
 
 def test_order_of_rows_changes_no_score(spark):
     docs = table(spark, SMALL, "documents")
-    score = lambda df: {r["doc_id"]: (round(r["score"], 6), r["n_known"], r["mix"]) for r in automaton.lm_scores(df).collect()}
+    score = lambda df: {r["doc_id"]: (round(r["score"], 6), r["n_known"], r["triple_share"], r["pair_share"]) for r in automaton.lm_scores(df).collect()}
     assert score(docs) == score(docs.repartition(3).orderBy(F.rand()))
 
 
@@ -125,14 +125,19 @@ def test_automaton_against_a_plain_walk(spark, docs):
     tokens = {i: [*words(lower(t)), None] for i, t in docs}
     train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
     one, two = Counter(w for i in train for w in tokens[i]), Counter(p for i in train for p in zip([None, *tokens[i]], tokens[i]))
+    three = Counter(p for i in train for p in zip([None, *tokens[i]], tokens[i], tokens[i][1:]))
     n, v, times = sum(one.values()), len(one), Counter(one.values())
     d = times[1] / (times[1] + 2 * times[2])
     for i, own in tokens.items():
-        m, state, total = got[i]["mix"], None, 0.0
+        a, b, state, total = got[i]["triple_share"], got[i]["pair_share"], (None,), 0.0
         for w in own:
             p = (one[w] - d) / n if one[w] else d * v / n
-            total += log10(m * two[state, w] / one[state] + (1 - m) * p if one[state] else p)
-            state = w
+            if one[state[-1]]:
+                p = b * two[state[-1], w] / one[state[-1]] + (1 - b) * p
+            if len(state) > 1 and two[state]:
+                p = a * three[(*state, w)] / two[state] + (1 - a) * p
+            total += log10(p)
+            state = (state[-1], w)
         assert got[i]["score"] == pytest.approx(total)
         assert got[i]["base_score"] == pytest.approx(sum(log10((one[w] + 1) / (n + v + 1)) for w in own))
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(own), sum(one[w] > 0 for w in own), n)

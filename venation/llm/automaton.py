@@ -1,24 +1,25 @@
-"""LM scoring with a weighted back-off automaton of word pairs.
+"""LM scoring with a weighted back-off automaton of runs of up to three words.
 
-The model. Every training word is a state, reached by reading that word; a text begins and ends in the state of the end
-token. A pair (h, w) seen in training is an arc from h with the weight
+The model. A state holds the last two words (a pair seen in training), the last word (a word seen in training), or none (the
+root); a text begins and ends in the state of the end token. From a state of two words, u v, every training run u v w is an
+arc by w, and a failure arc leads to the state v; from v every training pair v w is an arc by w, and a failure arc leads to
+the root, whose arcs are the training words and one for any unknown word. With the shares a and b the arcs' weights are the
+logarithms of
 
-    log10(mix * c(h w) / c(h) + (1 - mix) * p(w)),
+    p(w | u v) = a * c(u v w) / c(u v) + (1 - a) * p(w | v),
+    p(w | v) = b * c(v w) / c(v) + (1 - b) * p(w),
+    p(w) = (c(w) - D) / N,   p(unknown) = D * V / N,   D = n1 / (n1 + 2 n2),
 
-and every state has a failure arc, of weight log10(1 - mix), to the root, whose arcs carry log10 p(w) and whose last arc,
-for any unknown word, carries the mass that absolute discounting takes from the known ones:
+and those of the failure arcs log10(1 - a) and log10(1 - b): absolute discounting gives the unknown word its mass, and each
+state's probabilities sum to 1. A text is read once, left to right; the state is carried and weights are summed. The shares
+are chosen from SHARES squared by the leave-one-out likelihood of all training tokens.
 
-    p(w) = (c(w) - D) / N,   p(unknown) = D * V / N,   D = n1 / (n1 + 2 n2).
-
-Each state's probabilities sum to 1. A text is read once, left to right; the state is carried and weights are summed.
-`mix` is chosen from MIXES by leave-one-out likelihood of all training tokens.
-
-The corpus has far more words and pairs than a machine can hold, so no task holds the automaton. Texts are read once, in blocks
+The corpus has far more words and runs than a machine can hold, so no task holds the automaton. Texts are read once, in blocks
 of about BLOCK bytes, which are written as tokens; both passes below read those, so that the order of the texts, or an executor
-that is lost, changes nothing. A block asks for the words and pairs it has, each once, with its own training counts; requests are
-sorted 64-bit hashes, dealt out by their upper bits and packed as differences. A bucket sums the counts of all blocks and
-answers each block in the order it asked. The block's part of the automaton (states, arcs and failure arcs that its texts
-can reach) is built from the answers. A frequent word is asked for once a block, so it makes no bucket large. The number
+that is lost, changes nothing. A block asks for the words, pairs and triples it has, each once, with its own training counts;
+requests are sorted 64-bit hashes, dealt out by their upper bits and packed as differences. A bucket sums the counts of all
+blocks and answers each block in the order it asked. The block's part of the automaton (states, arcs and failure arcs that its
+texts can reach) is built from the answers. A frequent word is asked for once a block, so it makes no bucket large. The number
 of buckets follows the size of the corpus.
 """
 
@@ -35,7 +36,9 @@ from ._text import U, hashes, mix, pack, runs, spans, unpack, utf8
 
 BLOCK = 6 << 20
 BUCKET_BYTES = 4 << 20  # text whose words and pairs share a bucket, about
-MIXES = np.array([0.0, 0.001, 0.003, 0.01, 0.03, 0.06, 0.1, 0.2, 0.3, 0.45, 0.6, 0.75, 0.9])
+STEP = 1 << 15  # tokens whose weights are worked out at a time
+SHARES = (0.0, 0.03, 0.15, 0.4, 0.7, 0.92)
+MIXES = [(a, b) for a in SHARES for b in SHARES]  # shares of triples and of pairs
 END = U(0x5EED0E0D0FFACADE)  # the end token's hash
 
 
@@ -122,15 +125,24 @@ def before(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate([[END], tokens[:-1]])
 
 
+def tuples(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pair that each token ends; which tokens end a triple (all but a text's first); and those triples."""
+    last = before(tokens)
+    pairs = pair_hash(last, tokens)
+    inner = last != END
+    return pairs, inner, pair_hash(before(pairs)[inner], tokens[inner])
+
+
 def requests(batches, buckets: int):
-    """(kind, bucket, block, keys, counts): words (kind 1) and pairs (2) of each block with their training counts."""
+    """(kind, bucket, block, keys, counts): words (kind 1), pairs (2) and triples (3) of each block with their training counts."""
     shift = U(64 - buckets.bit_length() + 1)
     for block in (restored(batch.slice(i, 1).to_pylist()[0]) for batch in batches for i in range(len(batch))):
         rows: list[list] = [[], [], [], [], []]
-        for kind, every in ((1, block.tokens), (2, pair_hash(before(block.tokens), block.tokens))):
+        pairs, inner, triples = tuples(block.tokens)
+        for kind, every, train in ((1, block.tokens, block.train), (2, pairs, block.train), (3, triples, block.train[inner])):
             keys, which = np.unique(every, return_inverse=True)
-            counts = np.bincount(which, block.train, len(keys)).astype(np.uint32)
-            edge = np.searchsorted(keys >> shift if buckets > 1 else np.zeros(len(keys), U), np.arange(buckets + 1, dtype=U)) if buckets > 1 else np.array([0, len(keys)])
+            counts = np.bincount(which, train, len(keys)).astype(np.uint32)
+            edge = np.searchsorted(keys >> shift, np.arange(buckets + 1, dtype=U))
             for b in np.flatnonzero(np.diff(edge)):
                 lo, hi = edge[b], edge[b + 1]
                 for out, x in zip(rows, (kind, int(b), block.number, pack(keys[lo:hi]), planes(counts[lo:hi]))):
@@ -153,10 +165,10 @@ def answers(table: pa.Table) -> pa.Table:
 
 
 class Automaton:
-    """The part that a block can reach. States and root arcs: its distinct words; arcs: its distinct pairs that training has."""
+    """The part that a block can reach: training counts of its distinct words, pairs and triples, in the order of their hashes."""
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, n: int, v: int, n1: int, n2: int):
-        self.words, self.pairs, self.n = words.astype(np.float64), pairs.astype(np.float64), n
+    def __init__(self, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, n: int, v: int, n1: int, n2: int):
+        self.words, self.pairs, self.triples, self.n = words, pairs, triples, n
         self.discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         self.unknown = self.discount * max(v, 1) / max(n, 1)
 
@@ -164,37 +176,55 @@ class Automaton:
         """Probability by the root's arcs of words with these counts."""
         return np.where(c > 0, (c - self.discount) / max(self.n, 1), self.unknown)
 
-    def weights(self, state: np.ndarray, word: np.ndarray, arc: np.ndarray, share: float, less: int = 0) -> np.ndarray:
-        """Log10 weight of the way taken from each state by each word: the arc, or the failure arc and a root arc. With less = 1, as if the token had not been in training."""
-        h, c, hw = self.words[state] - less, self.words[word] - less, self.pairs[arc] - less
+    def weights(self, counts: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the ways taken, a row for each of MIXES, where the word, its state's last word, the pair of both, its state's pair and the triple have these counts."""
+        c, h, hw, gh, ghw = counts
         below = self.root(c)
-        p = np.where(h > 0, share * hw / np.maximum(h, 1) + (1 - share) * below, below)
-        return np.log10(p)
+        pair, triple = h > 0, gh > 0  # states that training has; from others reading goes on without them
+        gain = np.where(pair, hw / np.maximum(h, 1) - below, 0)
+        arc = np.where(triple, ghw / np.maximum(gh, 1), 0)
+        out = np.empty((len(MIXES), len(c)))
+        for i, (a, b) in enumerate(MIXES):
+            out[i] = (below + b * gain) * (1 - a * triple) + a * arc
+        return np.log(out, out=out)
 
 
-def traverse(block: Block, words: np.ndarray, pairs: np.ndarray, scalars: dict, base_only: bool = False):
-    """Each text's tokens, known tokens, base score and score for each of MIXES; and the training tokens' leave-one-out sums for MIXES."""
-    keys, word = np.unique(block.tokens, return_inverse=True)
-    pair_keys, arc = np.unique(pair_hash(before(block.tokens), block.tokens), return_inverse=True)
-    state = np.concatenate([[np.searchsorted(keys, END)], word[:-1]])  # a text's first state is the one that the end token before it leads to
+def traverse(block: Block, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, scalars: dict):
+    """Each text's known tokens, base score and score for each of MIXES; and the training tokens' leave-one-out sums for MIXES."""
     n, v = scalars["n"], scalars["v"]
-    automaton = Automaton(words, pairs, n, v, scalars["n1"], scalars["n2"])
+    automaton = Automaton(words, pairs, triples, n, v, scalars["n1"], scalars["n2"])
+    keys, word = np.unique(block.tokens, return_inverse=True)
+    end = np.searchsorted(keys, END)
+    every, inner, own = tuples(block.tokens)
+    arc = np.unique(every, return_inverse=True)[1]
+    del every
+    long = np.full(len(word), -1)
+    long[inner] = np.unique(own, return_inverse=True)[1]
+    del own
     edge = np.concatenate([[0], np.cumsum(block.size)])
-
-    def sums(x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x, edge[:-1]) if len(x) else np.zeros(0)
-
-    c = automaton.words[word]
-    base = sums(np.log10((c + 1) / (n + v + 1)))
-    known = sums((c > 0).astype(np.int64))
-    t = block.train
-    scores = np.stack([sums(automaton.weights(state, word, arc, m)) for m in MIXES], axis=1)
-    left_out = [float(automaton.weights(state[t], word[t], arc[t], m, 1).sum()) for m in MIXES]
-    return known, base, scores, left_out
+    known, base, scores, left_out = np.zeros(len(block.size), np.int64), np.zeros(len(block.size)), np.zeros((len(MIXES), len(block.size))), np.zeros(len(MIXES))
+    for a, b in runs(edge, STEP):
+        for lo in range(edge[a], edge[b], STEP):  # more than once for long texts alone
+            hi = min(lo + STEP, edge[b])
+            state = np.concatenate([[word[lo - 1] if lo else end], word[lo : hi - 1]])  # a text's first state is the one that the end token before it leads to
+            context = np.concatenate([[arc[lo - 1] if lo else 0], arc[lo : hi - 1]])
+            deep = long[lo:hi] >= 0
+            third = automaton.triples[long[lo:hi][deep]]
+            counts = np.zeros((5, hi - lo))
+            counts[0], counts[1], counts[2] = automaton.words[word[lo:hi]], automaton.words[state], automaton.pairs[arc[lo:hi]]
+            counts[3, deep], counts[4, deep] = automaton.pairs[context[deep]], third
+            first = np.maximum(edge[a:b], lo) - lo
+            known[a:b] += np.add.reduceat((counts[0] > 0).astype(np.int64), first)
+            base[a:b] += np.add.reduceat(np.log10((counts[0] + 1) / (n + v + 1)), first)
+            scores[:, a:b] += np.add.reduceat(automaton.weights(counts), first, axis=1)
+            train = block.train[lo:hi]
+            if train.any():
+                left_out += automaton.weights(counts[:, train] - 1).sum(axis=1)
+    return known, base, scores.T / np.log(10), (left_out / np.log(10)).tolist()
 
 
 def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
-    """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, and mix.
+    """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, and the model's two shares.
 
     Learnt from the documents whose crc32(doc_id as text) modulo `folds` is not `held_out`. Words are runs of bytes other
     than white space, A-Z lower-cased; each text has one end token more. Null and empty texts have only that. If there is
@@ -215,7 +245,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         block = restored(left.to_pylist()[0])
         right = right.sort_by("bucket")
-        found = [np.concatenate([unplanes(x, "<u8") for k, x in zip(right["kind"].to_pylist(), right["counts"].to_pylist()) if k == kind]) for kind in (1, 2)]
+        found = [np.concatenate([np.zeros(0, "<u8"), *(unplanes(x, "<u8") for k, x in zip(right["kind"].to_pylist(), right["counts"].to_pylist()) if k == kind)]) for kind in (1, 2, 3)]
         known, base, scores, left_out = traverse(block, *found, sums)
         n = len(block.size)
         return pa.Table.from_arrays(
@@ -228,4 +258,4 @@ def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
     forget(texts, told)
     totals = scored.where("left_out is not null").agg(*(F.sum(F.col("left_out")[i]).alias(f"m{i}") for i in range(len(MIXES)))).first()
     best = max(range(len(MIXES)), key=lambda i: (round(totals[i], 3), -i)) if totals[0] is not None else 0
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(sums["n"])).cast("long").alias("train_tokens"), "base_score", F.col("scores")[best].alias("score"), F.lit(float(MIXES[best])).alias("mix"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(sums["n"])).cast("long").alias("train_tokens"), "base_score", F.col("scores")[best].alias("score"), *(F.lit(float(x)).alias(c) for x, c in zip(MIXES[best], ("triple_share", "pair_share"))))
