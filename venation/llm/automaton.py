@@ -17,7 +17,7 @@ are chosen from SHARES squared by the leave-one-out likelihood of all training t
 The corpus has far more words and runs than a machine can hold, so no task holds the automaton. Texts are read once, in blocks
 of about BLOCK bytes, which are written as tokens; both passes below read those, so that the order of the texts, or an executor
 that is lost, changes nothing. A block asks for the words, pairs and triples it has, each once, with its own training counts;
-requests are sorted 64-bit hashes, dealt out by their upper bits and packed as differences. A bucket sums the counts of all
+requests are sorted hashes, dealt out by their upper bits and packed as differences. A bucket sums the counts of all
 blocks and answers each block in the order it asked. The block's part of the automaton (states, arcs and failure arcs that its
 texts can reach) is built from the answers. A frequent word is asked for once a block, so it makes no bucket large. The number
 of buckets follows the size of the corpus.
@@ -40,11 +40,12 @@ BUCKET_BYTES = 4 << 20  # text whose words and pairs share a bucket, about
 STEP = 1 << 15  # tokens whose weights are worked out at a time
 SHARES = (0.0, 0.03, 0.15, 0.4, 0.7, 0.92)
 MIXES = [(a, b) for a in SHARES for b in SHARES]  # shares of triples and of pairs
+WIDTH = 56  # bits of a pair's or triple's hash: among the 2**43 of some 100 TB, one in 8,000 shares its hash with another
 END = U(0x5EED0E0D0FFACADE)  # the end token's hash
 
 
 def pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(mix(h) * U(3) + w)
+    return mix(mix(h) * U(3) + w) >> U(64 - WIDTH)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -136,17 +137,17 @@ def tuples(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def requests(batches, buckets: int):
     """(kind, bucket, block, keys, counts): words (kind 1), pairs (2) and triples (3) of each block with their training counts."""
-    shift = U(64 - buckets.bit_length() + 1)
+    bits = buckets.bit_length() - 1
     for block in (restored(batch.slice(i, 1).to_pylist()[0]) for batch in batches for i in range(len(batch))):
         rows: list[list] = [[], [], [], [], []]
         pairs, inner, triples = tuples(block.tokens)
         for kind, every, train in ((1, block.tokens, block.train), (2, pairs, block.train), (3, triples, block.train[inner])):
             keys, which = np.unique(every, return_inverse=True)
             counts = np.bincount(which, train, len(keys)).astype(np.uint32)
-            edge = np.searchsorted(keys >> shift, np.arange(buckets + 1, dtype=U))
+            edge = np.searchsorted(keys >> U((64 if kind == 1 else WIDTH) - bits), np.arange(buckets + 1, dtype=U))
             for b in np.flatnonzero(np.diff(edge)):
                 lo, hi = edge[b], edge[b + 1]
-                for out, x in zip(rows, (kind, int(b), block.number, pack(keys[lo:hi]), planes(counts[lo:hi]))):
+                for out, x in zip(rows, (kind, int(b), block.number, zstandard.compress(pack(keys[lo:hi]), 1), planes(counts[lo:hi]))):
                     out.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["kind", "bucket", "block", "keys", "counts"])
 
@@ -154,7 +155,7 @@ def requests(batches, buckets: int):
 def answers(table: pa.Table) -> pa.Table:
     """(kind, bucket, block, counts) in the order of the requests; and for words one row with block -1 and sums: V, n1, n2, N."""
     kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
-    keys = [unpack(x) for x in table["keys"].to_pylist()]
+    keys = [unpack(zstandard.decompress(x)) for x in table["keys"].to_pylist()]
     counts = [unplanes(x, "<u4") for x in table["counts"].to_pylist()]
     _, which = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(which, np.concatenate(counts)).astype(np.uint64)
