@@ -111,6 +111,45 @@ def test_plan_places_every_piece_once():
     assert len(used) <= 1.02 * -(-sum(k * n for k, n in histogram.items()) // 2048) + 1
 
 
+def test_packing_query_against_the_tokenizer(spark, docs):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    want, total = Counter(), 0
+    for i, t in docs:
+        ids = library.encode(t or "", add_special_tokens=False).ids + [0]
+        total += len(ids)
+        bounds = [0, *range((len(ids) - 1) % 2048 + 1, len(ids) + 1, 2048)]  # the first piece may be shorter, the others are full
+        for piece, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            want[i, piece, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+    rows = registry.QUERIES["op9_pattern_packing"](spark, SMALL).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    used = {}
+    for r in rows:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for v in used.values():
+        assert [o for o, _ in sorted(v)] == np.cumsum([0] + [x for _, x in sorted(v)])[:-1].tolist() and sum(x for _, x in v) <= 2048
+    assert len(used) <= 1.02 * -(-total // 2048) + 1
+
+
+def test_automaton_of_odd_texts(spark):
+    """Every training text alike; a held-out text, of an id whose crc32 gives remainder 2, and unknown words."""
+    import zlib
+
+    held = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 == 2)
+    train = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2][:5]
+    rows = [(i, "A b c d", 0) for i in train] + [(held, "a b c d", 0), (held, "d c b a", 0), (held, "x y", 0), (held, None, 0), (held, "z " * 40000, 0)]
+    got = automaton.lm_scores(spark.createDataFrame(rows, "doc_id long, text string, score int")).collect()
+    assert {r["train_tokens"] for r in got} == {25} and len(got) == 10
+    own = sorted(((r["n_tokens"], r["n_known"], r["score"]) for r in got if r["held_out"]), key=lambda r: r[:2] + (-r[2],))
+    assert [r[:2] for r in own] == [(1, 1), (3, 1), (5, 5), (5, 5), (40001, 1)]
+    assert all(np.isfinite(r[2]) and r[2] < 0 for r in own) and own[2][2] > own[3][2] + 1
+    copies = [r["score"] for r in got if not r["held_out"]]
+    assert copies == [own[2][2]] * 5
+
+
 def test_order_of_rows_changes_no_score(spark):
     docs = table(spark, SMALL, "documents")
     score = lambda df: {r["doc_id"]: (round(r["score"], 6), r["n_known"], r["triple_share"], r["pair_share"]) for r in automaton.lm_scores(df).collect()}
