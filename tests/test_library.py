@@ -142,6 +142,21 @@ def test_material_graphs(spark):
     assert len(nodes) == 2 * len(ids) and {r["src"] for r in links} | {r["dst"] for r in links} == ids
 
 
+def test_material_links_of_repeated_and_null_parts(spark, tmp_path):
+    import duckdb
+
+    from venation import queries
+
+    spark.createDataFrame([(1,), (2,), (2,), (None,)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    made = queries.QUERIES["material_graph"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted((tuple(r) for r in made.collect()), key=key) == sorted(con.execute(queries.SQL["material_graph"]).fetchall(), key=key)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan  # neither the leaves nor their links are broadcast or shuffled
+
+
 def test_exif_focal_length():
     ifd = struct.pack("<HHHIII", 1, 0x8769, 4, 1, 26, 0)
     exif = struct.pack("<HHHIII", 1, 0x920A, 5, 1, 44, 0)

@@ -28,14 +28,28 @@ def material_links() -> list[tuple[str, str, str, str]]:
     ]
 
 
+#: The column of each texture node's file.
+TEXTURES = {"colour": "diffuse", "normals": "normal", "mask": "mask"}
+
+
 def materials(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and links of every leaf (leaf, diffuse, normal, mask): the graph is constant but for the textures."""
     array = lambda rows, names: F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in rows))
-    nodes = leaves.select("leaf", "diffuse", "normal", "mask", F.explode(array(material_nodes(), ["id", "type"])).alias("n")).select("leaf", "n.*", F.when(F.col("n.id") == "colour", F.col("diffuse")).when(F.col("n.id") == "normals", F.col("normal")).when(F.col("n.id") == "mask", F.col("mask")).alias("texture"), F.when(F.col("n.id").isin("normals", "mask"), "Non-Color").alias("colour_space"))
+    nodes = leaves.select("leaf", "diffuse", "normal", "mask", F.explode(array(material_nodes(), ["id", "type"])).alias("n")).select("leaf", "n.*", F.coalesce(*(F.when(F.col("n.id") == i, F.col(file)) for i, file in TEXTURES.items())).alias("texture"), F.when(F.col("n.id").isin("normals", "mask"), "Non-Color").alias("colour_space"))
     links = leaves.select("leaf", F.explode(array(material_links(), ["src", "src_socket", "dst", "dst_socket"])).alias("l")).select("leaf", "l.*")
     return nodes, links
 
 
+def named_links(leaves: DataFrame) -> DataFrame:
+    """Links of every row of leaves (leaf, diffuse, normal, mask) by what their ends are, textures by their files and other nodes by their types: leaf, src, src_socket, dst, dst_socket.
+
+    The graph is constant, so ends are named row by row: no join, and nothing of the leaves is broadcast.
+    """
+    what = {i: F.col(TEXTURES[i]) if i in TEXTURES else F.lit(kind) for i, kind in material_nodes()}
+    ends = (F.struct(what[src].alias("src"), F.lit(a).alias("src_socket"), what[dst].alias("dst"), F.lit(b).alias("dst_socket")) for src, a, dst, b in material_links())
+    return leaves.select("leaf", F.explode(F.array(*ends)).alias("l")).select("leaf", "l.*")
+
+
 def extent(corners: str, axis: str):
     """Length of an array of corner structs along an axis."""
     values = F.transform(F.col(corners), lambda c: c[axis])

@@ -375,13 +375,10 @@ def region_contours(spark, d):
 select p_partkey, case when src in ('diffuse', 'normal', 'mask') then p_partkey || '_' || src else src end as src, src_socket, dst, dst_socket from part, l""")
 def material_graph(spark, d):
     """Every link by the types of its ends, textures by their files."""
-    from .plans.scene import materials
+    from .plans.scene import named_links
 
     texture = lambda end: F.concat(F.col("p_partkey").cast("string"), F.lit(end)).alias(end[1:])
-    nodes, links = materials(table(spark, d, "part").select(F.col("p_partkey").alias("leaf"), texture("_diffuse"), texture("_normal"), texture("_mask")))
-    kinds = nodes.select("leaf", "id", F.coalesce("texture", "type").alias("what"))
-    named = links.join(kinds.select("leaf", F.col("id").alias("src"), F.col("what").alias("from")), ["leaf", "src"]).join(kinds.select("leaf", F.col("id").alias("dst"), F.col("what").alias("to")), ["leaf", "dst"])
-    return named.select(F.col("leaf").alias("p_partkey"), F.col("from").alias("src"), "src_socket", F.col("to").alias("dst"), "dst_socket")
+    return named_links(table(spark, d, "part").select(F.col("p_partkey").alias("leaf"), texture("_diffuse"), texture("_normal"), texture("_mask"))).withColumnRenamed("leaf", "p_partkey")
 
 
 # --- pixels of pictures
