@@ -100,3 +100,20 @@ def test_queries_that_find_too_few_rows_are_asked_again(spark, monkeypatch):
     monkeypatch.setattr(H.Codes, "_learn", narrow)
     got = H.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert sorted((r["query_id"], r["rank"]) for r in got) == [(q, k) for q in (0, 50, 100) for k in range(1, 6)]
+
+
+def test_near_copies_meet_once_and_probes_are_not_broadcast(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 32))
+    x[:300] = x[0] + 0.05 * rng.normal(size=(300, 32))  # a group of near copies
+    ship(spark)
+    entries = written(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>"), "entries")
+    codes = H.Codes(x, len(x), 5)
+    shared = spark.sparkContext.broadcast(codes)
+    index, asked = written(H.table(entries, shared), "index"), H.probes(entries.where("id % 50 = 0"), shared, codes.radius)
+    made = H.candidates(index, asked, codes.reach, codes.radius)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Aggregate" not in plan
+    rows = sorted(map(tuple, made.collect()))
+    every = sorted(map(tuple, H.candidates(index, asked, codes.reach).collect()))
+    assert rows == every and asked.join(index, "key").where("q < 300 and id < 300").count() > 5 * sum(q < 300 and i < 300 for q, i in rows)

@@ -147,10 +147,29 @@ def probes(queries: DataFrame, codes, radius: int) -> DataFrame:
     return queries.select("id", "embedding").mapInArrow(of, "key long, q long, " + ", ".join(f"y{i} long" for i in range(WORDS)))
 
 
-def candidates(index: DataFrame, asked: DataFrame, reach: int) -> DataFrame:
-    """(q, id): pairs that the probes bring and whose codes differ in at most `reach` bits."""
-    apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(WORDS)))
-    return asked.join(index, (asked["key"] == index["key"]) & (apart <= reach)).select("q", "id").distinct()
+def _substring(j: int, width: int) -> np.ndarray:
+    """Substring j as a mask of a code's 64-bit words."""
+    bits = np.zeros(BITS, bool)
+    bits[j * width : (j + 1) * width] = True
+    return np.packbits(bits).view(np.int64)
+
+
+def candidates(index: DataFrame, asked: DataFrame, reach: int, radius: int | None = None, width: int = WIDTH) -> DataFrame:
+    """(q, id): pairs that the probes bring and whose codes differ in at most `reach` bits.
+
+    With the radius of the probes and the width of substrings, a pair comes from the first substring alone that brings it, and so
+    once, however many substrings near codes share. The probes are never broadcast: a query's thousands of rows compress to
+    little, so that Spark takes them for a small table.
+    """
+    differ = [asked[f"y{i}"].bitwiseXOR(index[f"x{i}"]) for i in range(WORDS)]
+    met = (asked["key"] == index["key"]) & (reduce(lambda a, b: a + b, map(F.bit_count, differ)) <= reach)
+    if radius is not None:
+        for j, most in enumerate(radii(radius, INDEXED // width)):
+            if most >= 0:
+                own = reduce(lambda a, b: a + b, (F.bit_count(differ[i].bitwiseAND(F.lit(int(mask)))) for i, mask in enumerate(_substring(j, width)) if mask))
+                met &= (asked["key"] < ((j + 1) << 32)) | (own > most)
+    pairs = asked.join(index.hint("merge"), met).select("q", "id")
+    return pairs.distinct() if radius is None else pairs
 
 
 def scored(pairs: DataFrame, entries: DataFrame, queries: DataFrame, small: bool) -> DataFrame:
@@ -200,7 +219,7 @@ def _of_dimension(whole: DataFrame, total: int, k: int, every: int, width: int)
     todo = written(entries.join(asked.select(F.col("q").alias("id")).distinct(), "id", "left_semi").select("id", "embedding"), "queries")
     radius, reach, found = codes.radius, codes.reach, []
     while count := todo.count():
-        pairs = candidates(index, probes(todo, shared, radius), reach)
+        pairs = candidates(index, probes(todo, shared, radius), reach, radius, width)
         near = scored(pairs, entries, todo, count * values * 8 <= SMALL)
         # the k + 1 best entries of a query hold its k + 1 best rows; members are looked up only then
         best = near.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "first"))).where(F.col("nth") <= k + 1)
