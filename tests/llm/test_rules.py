@@ -120,3 +120,25 @@ def test_rare_runs_are_left_out_by_share_alone(spark, monkeypatch):
         (_, models), *_ = rules.train(docs if times == 1 else docs.unionByName(docs).unionByName(docs))
         kept = {"".join(chr(int(r) >> 16 * k & 0xFFFF) for k in (3, 2, 1, 0)) for r in rules.merged([(np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(x))], T.U), np.ones(1)) for x in ("abab", "baba")])[0]}
         assert {x for x in ("abab", "baba", "babq") if rules.find(models["*"].hash, rules.key(4, np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(x))], T.U)))[1][0]} == kept
+
+
+def test_rare_runs_are_scored_by_their_own_probabilities(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, "".join(rng.choice(list("abcdefgh éж漢"), 300)) + chr(0x4E00 + i), "en") for i in range(150)] + [(7, "abc", None), (8, None, "en"), (9, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = lambda: sorted((r["doc_id"], r["lang"], r["n_words"], r["kept"], round(r["cross_entropy"], 6)) for r in rules.quality_rules(docs).collect())
+    whole = got()
+    model = Plain([folded(t) for _, t, lang in rows if lang])
+    for i, lang, _, _, h in whole:
+        if lang == "en":
+            assert any(h == pytest.approx(model.cross_entropy(folded(t)), abs=2e-5) for j, t, _ in rows if j == i)
+    for share in (0.0005, 0.5):  # some runs, then all of them, come by the join
+        monkeypatch.setattr(rules, "RARE", share)
+        assert [r[:4] for r in got()] == [r[:4] for r in whole] and [r[4] for r in got()] == pytest.approx([r[4] for r in whole], abs=2e-6)
+
+
+def test_table_of_probabilities_against_the_model_in_memory(spark):
+    run, n = np.unique(np.random.default_rng(1).integers(0, 4, (3000, 4)) @ (np.array([1, 1 << 16, 1 << 32, 1 << 48])), return_counts=True)
+    counted = spark.createDataFrame([("x", int(r), int(c)) for r, c in zip(run, n)], "lang string, run long, n long")
+    got = {r["run"]: r["p"] for r in rules.probabilities(counted).collect()}
+    assert [got[int(r)] for r in run] == pytest.approx(rules.Model(run.view(T.U), n).log10(run.view(T.U)).tolist(), abs=1e-6)

@@ -2,13 +2,15 @@
 
 The language model is modified Kneser-Ney over runs of ORDER characters, whatever the corpus's size. Characters are themselves:
 only white space is one character, digits are one, and code points beyond the basic plane are hashed to the 2,048 numbers that
-no character has. Spark counts the runs in all texts; each task's counts are summed before they are shuffled. Of a language's
-runs those count that are at least a share of RARE of all its characters, so a model has at most 1 / RARE of them, by one rule
-at every size (in a language of fewer than 1 / RARE characters that is every run). Every language of at least OWN_CHARS
-characters in OWN_DOCS documents has a model and a band of its own, whatever else the corpus holds; the others, texts without a
-language, and what is beyond the LANGUAGES largest, share one. Languages are taken in groups of at most MODEL_ROWS runs
-together: a group's models are built, broadcast and used before the next's. A smoothed model is kept as sorted arrays of hashes
-with a log-probability and a back-off weight each.
+no character has. Spark counts the runs in all texts; each task's counts are summed before they are shuffled. Every run counts,
+however rare, and has its smoothed probability in a table that Spark makes by aggregates and joins. Every language of at least
+OWN_CHARS characters in OWN_DOCS documents has a model and a band of its own, whatever else the corpus holds; the others, and
+texts without a language, share one.
+
+Texts are scored by that table. Of a language's runs those that are at least a share of RARE of all its characters, which are
+1 / RARE at most, are broadcast to the workers that read the texts, as sorted arrays; languages are taken in groups of at most
+MODEL_ROWS such runs together, one group's before the next's. What a text has of other runs, a few hundredths of its characters,
+is joined with the table. So RARE decides by which way a run's probability comes, and not which it is.
 
 A text's cross-entropy is the mean negative log10 probability of its characters. For each language the median and the
 median absolute deviation over all documents that pass the base rules give the band: `width` robust standard deviations
@@ -23,21 +25,29 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from . import _text
 from ._classes import SYMBOLS
 from ._shared import carried, forget, ship, written
-from ._text import U, grams, hashes, mix, runs, spans, utf8
+from ._text import U, grams, hashes, mix, spans, utf8
 
 ORDER, RARE, MODEL_ROWS = 4, 2e-7, 6_000_000
-OWN_CHARS, OWN_DOCS, LANGUAGES = 40_000, 10, 1000  # of a language with a model of its own, and how many have one at most
-PIECE, HELD = 4 << 20, 3_000_000  # bytes of one text at a time, and runs that a task holds before it passes them on
+OWN_CHARS, OWN_DOCS = 40_000, 10  # of a language with a model of its own
+STEP, PIECE, HELD = 512 << 10, 1 << 20, 1_000_000  # bytes of texts and of one text at a time, and runs that a task holds before it sums them
+UNIT = 10**9  # of a log10 probability, for sums that don't depend on the order of rows
 SHORT, WIDTH = 1500, 4.0
 BINS = 2000  # a unit of cross-entropy, for exact medians
 
 
+def runs(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    return _text.runs(offsets, STEP)
+
+
 # --- counts of the base rules
 
 
@@ -141,8 +151,8 @@ def count_runs(docs: DataFrame) -> DataFrame:
         def passed():
             for lang, parts in held.items():
                 run, n = merged(parts)
-                for at in range(0, len(run), 1 << 18):
-                    some = slice(at, at + (1 << 18))
+                for at in range(0, len(run), 1 << 16):
+                    some = slice(at, at + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(run[some]), pa.string()), pa.array(run[some].view(np.int64)), pa.array(n[some])], ["lang", "run", "n"])
             held.clear()
 
@@ -156,7 +166,9 @@ def count_runs(docs: DataFrame) -> DataFrame:
                     if len(own):
                         held.setdefault(lang, []).append(np.unique(own, return_counts=True))
                 if sum(len(r) for parts in held.values() for r, _ in parts) > HELD:
-                    yield from passed()
+                    held |= {lang: [merged(parts)] for lang, parts in held.items()}
+                    if sum(len(r) for ((r, _),) in held.values()) > HELD // 2:
+                        yield from passed()
         yield from passed()
 
     return docs.select("lang", "text").mapInArrow(of, "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
@@ -179,8 +191,50 @@ def last(run: np.ndarray, k: int) -> np.ndarray:
     return run & U((1 << 16 * k) - 1)
 
 
+def probabilities(counted: DataFrame) -> DataFrame:
+    """(lang, run, p, frequent): of every run of counted (lang, run, n) the log10 probability of its last character after the others, and whether it is a share of RARE of its language's characters.
+
+    The same estimate as Model, of tables of any size. Sums are of whole numbers, so that the order of rows changes nothing.
+    """
+    tables = {ORDER: counted}
+    for k in range(ORDER - 1, 0, -1):  # lower orders count how many different characters stand before
+        tables[k] = written(tables[k + 1].groupBy("lang", F.col("run").bitwiseAND((1 << 16 * k) - 1).alias("run")).agg(F.count("*").alias("n")), "order")
+    n, lower, out = F.col("n"), F.lit(1.0) / (F.col("size") + 1), None
+    for k in range(1, ORDER + 1):
+        each = tables[k].groupBy("lang").agg(*(F.greatest(F.lit(1), F.count_if(n == i)).alias(f"t{i}") for i in (1, 2, 3, 4)), F.count("*").alias("size"), F.sum("n").alias("whole"))
+        y = F.col("t1") / (F.col("t1") + 2 * F.col("t2"))
+        found = [i + 1 - (i + 2) * y * F.col(f"t{i + 2}") / F.col(f"t{i + 1}") for i in range(3)]
+        each = each.select("lang", "size", "whole", *(F.least(F.greatest(d, F.lit(0.05)), F.lit(i + 0.95)).alias(f"d{i + 1}") for i, d in enumerate(found)))
+        of = W.partitionBy("lang", "context")  # as many rows as there are characters at most
+        rows = tables[k].withColumn("context", F.shiftrightunsigned("run", 16)).withColumns({"mass": F.sum("n").over(of), "n1": F.count_if(n == 1).over(of), "n2": F.count_if(n == 2).over(of), "n3": F.count_if(n > 2).over(of)})
+        rows = rows.join(F.broadcast(each), "lang")  # a row a language
+        if out is not None:
+            shorter = out.select("lang", F.col("run").alias("shorter"), F.col("p").alias("lower"))
+            rows, lower = rows.withColumn("shorter", F.col("run").bitwiseAND((1 << 16 * (k - 1)) - 1)).join(shorter, ["lang", "shorter"]), F.col("lower")
+        off = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
+        back = (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("mass")
+        out = rows.select("lang", "run", ((n - off) / F.col("mass") + back * lower).alias("p"), (n >= RARE * F.col("whole")).alias("frequent"))
+    return out.withColumn("p", F.log10("p"))
+
+
+class Known:
+    """Sorted hashes of runs with their log10 probabilities."""
+
+    def __init__(self, run: np.ndarray, p: np.ndarray):
+        every = key(ORDER, run)
+        o = np.argsort(every)
+        self.hash, self.p = every[o], p[o].astype(np.float32)
+
+    def log10(self, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each run's log10 probability, 0 where it isn't here, and whether it is."""
+        if not len(self.hash):
+            return np.zeros(len(run)), np.zeros(len(run), bool)
+        at, there = find(self.hash, key(ORDER, run))
+        return np.where(there, self.p[at].astype(np.float64), 0.0), there
+
+
 class Model:
-    """Sorted hashes of seen runs of every order, with log10 probability and log10 back-off weight."""
+    """Of runs that are held in memory: sorted hashes of every order, with log10 probability and log10 back-off weight, for any text's runs."""
 
     def __init__(self, run: np.ndarray, n: np.ndarray):
         levels = {ORDER: (run, n)}
@@ -226,7 +280,7 @@ def find(sorted_: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def modelled(docs: DataFrame) -> DataFrame:
     """docs with '*' for each language that has too little text for a model of its own."""
     sizes = docs.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n"))
-    large = sizes.where((F.col("chars") >= OWN_CHARS) & (F.col("n") >= OWN_DOCS)).orderBy(F.desc("chars"), "lang").limit(LANGUAGES)
+    large = sizes.where((F.col("chars") >= OWN_CHARS) & (F.col("n") >= OWN_DOCS))
     own = written(large.select("lang", F.lit(True).alias("own")), "own")
     return docs.join(F.broadcast(own), "lang", "left").withColumn("lang", F.when(F.col("own"), F.col("lang")).otherwise("*")).select(docs.columns)
 
@@ -242,38 +296,42 @@ def groups(sizes: dict[str, int]) -> list[list[str]]:
     return out
 
 
-def train(docs: DataFrame) -> Iterator[tuple[DataFrame, dict[str, Model]]]:
-    """The documents of each group of languages, and their models."""
+def trained(docs: DataFrame) -> DataFrame:
+    """probabilities() of all runs in docs, written."""
     counted = written(count_runs(docs), "runs")
-    whole = counted.groupBy("lang").agg(F.sum("n").alias("whole"))  # a row for each language with a model
-    kept = counted.join(F.broadcast(whole), "lang").where(F.col("n") >= RARE * F.col("whole")).select("lang", "run", "n")
-    every = groups({r["lang"]: r["count"] for r in kept.groupBy("lang").count().collect()})
+    model = written(probabilities(counted), "model")
+    forget(counted)
+    return model
+
+
+def train(docs: DataFrame, model: DataFrame | None = None) -> Iterator[tuple[DataFrame, dict[str, Known]]]:
+    """The documents of each group of languages, and the probabilities of their frequent runs. model: trained(docs), which has the others' too."""
+    model = trained(docs) if model is None else model
+    every = groups({r["lang"]: r["n"] for r in model.groupBy("lang").agg(F.count_if("frequent").alias("n")).collect()})  # a row a language
     for group in every:
-        got = kept.where(F.col("lang").isin(group)).toArrow()
+        got = model.where(F.col("frequent") & F.col("lang").isin(group)).select("lang", "run", "p").toArrow()
         langs = got["lang"].to_numpy(zero_copy_only=False) if len(got) else np.array([], object)
-        run, n = got["run"].to_numpy().view(U), got["n"].to_numpy()
+        run, p = got["run"].to_numpy().view(U), got["p"].to_numpy()
         models = {}
-        for lang in sorted(set(langs)):  # a language without characters has no runs, and so is '*'
+        for lang in group:  # one may have no frequent runs, or, '*', none
             mine = np.flatnonzero(langs == lang)
-            mine = mine[np.argsort(run[mine])]
-            models[lang] = Model(run[mine], n[mine])
-        del got, langs, run, n
+            models[lang] = Known(run[mine], p[mine])
+        del got, langs, run, p
         yield docs if len(every) == 1 else docs.where(F.col("lang").isin(group)), models
-    forget(counted)
 
 
-def score(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
-    """doc_id, lang (of the model), the base counts, n_chars_scored and cross_entropy; text and row too where docs has a row."""
+def score(docs: DataFrame, models: dict[str, Known]) -> DataFrame:
+    """key (of the row), doc_id, lang (of the model), the base counts, n_scored, total (the log10 probability of the runs in models) and rest (the others, and how often); text and row too where docs has a row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(models)  # bounded by MODEL_ROWS
 
     def of(batches):
-        models = shared.value
+        models, named = shared.value, TaskContext.get().partitionId() << 33
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             langs = [x if x in models else "*" for x in batch.column(1).to_pylist()]
             here, n = np.array(langs, object), len(batch)
-            total, size = np.zeros(n), np.zeros(n, np.int64)
+            total, size, rest = np.zeros(n), np.zeros(n, np.int64), [(np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64))]
             for lo, hi, first, run, chars in pieces(data, offsets):
                 size[lo:hi] += chars
                 for lang in dict.fromkeys(here[lo:hi]):
@@ -281,17 +339,36 @@ def score(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
                         mine = np.repeat(here[lo:hi] == lang, np.diff(first))
                         seen, which = np.unique(run[mine], return_inverse=True)
                         owner = np.repeat(np.arange(lo, hi), np.diff(first))[mine]
-                        total += np.bincount(owner, models[lang].log10(seen)[which], n)
+                        p, known = models[lang].log10(seen)
+                        total += np.bincount(owner, p[which], n)
+                        if not known.all():
+                            rare = ~known[which]
+                            pair, times = np.unique(owner[rare] * len(seen) + which[rare], return_counts=True)
+                            rest.append((pair // len(seen), seen[pair % len(seen)], times))
+            owner, run, times = map(np.concatenate, zip(*rest))
+            o = np.argsort(owner, kind="stable")
+            others = pa.StructArray.from_arrays([pa.array(run[o].view(np.int64)), pa.array(times[o])], ["run", "times"])
+            others = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[o], np.arange(n + 1)).astype(np.int32)), others)
             for lo, hi in runs(offsets):
                 counts = base_counts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[: len(COUNTS)]
-                columns = [batch.column(0).slice(lo, hi - lo), pa.array(langs[lo:hi], pa.string()), *(pa.array(c.astype(np.int64)) for c in counts), pa.array(size[lo:hi]), pa.array(-total[lo:hi] / np.maximum(size[lo:hi], 1))]
-                yield pa.RecordBatch.from_arrays([*columns, *(batch.column(i).slice(lo, hi - lo) for i in kept)], ["doc_id", "lang", *COUNTS, "n_scored", "cross_entropy", *extra])
+                columns = [pa.array(named + np.arange(lo, hi)), batch.column(0).slice(lo, hi - lo), pa.array(langs[lo:hi], pa.string()), *(pa.array(c.astype(np.int64)) for c in counts), pa.array(size[lo:hi]), pa.array(total[lo:hi]), others.slice(lo, hi - lo)]
+                yield pa.RecordBatch.from_arrays([*columns, *(batch.column(i).slice(lo, hi - lo) for i in kept)], ["key", "doc_id", "lang", *COUNTS, "n_scored", "total", "rest", *extra])
+            named += n
 
     extra, kept = (["text", "row"], (2, 3)) if "row" in docs.columns else ([], ())
-    kinds = {"doc_id": S.LongType(), "lang": S.StringType(), **dict.fromkeys([*COUNTS, "n_scored"], S.LongType()), "cross_entropy": S.DoubleType()}
+    kinds = {"key": S.LongType(), "doc_id": S.LongType(), "lang": S.StringType(), **dict.fromkeys([*COUNTS, "n_scored"], S.LongType()), "total": S.DoubleType(), "rest": S.ArrayType(S.StructType([S.StructField("run", S.LongType()), S.StructField("times", S.LongType())]))}
     return docs.mapInArrow(of, S.StructType([*(S.StructField(c, kind) for c, kind in kinds.items()), *(docs.schema[c] for c in extra)]))
 
 
+def completed(scored: DataFrame, model: DataFrame) -> DataFrame:
+    """Rows of score() with their cross_entropy, for which the probabilities of the rest are looked up in the model."""
+    each = scored.select("key", "lang", F.explode("rest").alias("r")).select("key", "lang", "r.run", "r.times")
+    found = each.join(model.select("lang", "run", "p"), ["lang", "run"]).groupBy("key").agg(F.sum(F.col("times") * F.round(F.col("p") * UNIT).cast("long")).alias("late"))
+    total = F.col("total") + F.coalesce(F.col("late"), F.lit(0)) / UNIT
+    whole = scored.drop("rest").join(written(found, "late"), "key", "left")
+    return whole.withColumn("cross_entropy", -total / F.greatest(F.col("n_scored"), F.lit(1))).drop("key", "total", "late")
+
+
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 BASE_FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
 
@@ -329,9 +406,12 @@ def quality_rules(docs: DataFrame, width: float = WIDTH, carry: bool = False) ->
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("*")).alias("lang"), F.col("text").cast("string"), *([carried(docs)] if carry else []))
     parts, found = [], {}
-    for some, models in train(modelled(docs)):
-        parts.append(written(score(some, models).withColumn("base_failed", F.expr(BASE_FAILED)), "scored"))
+    docs = modelled(docs)
+    model = trained(docs)
+    for some, models in train(docs, model):
+        parts.append(completed(written(score(some, models).withColumn("base_failed", F.expr(BASE_FAILED)), "scored"), model))
         found |= bands(parts[-1], width)
+    forget(model)
     scored = reduce(DataFrame.unionByName, parts)
     wide = F.sqrt(F.greatest(F.lit(1.0), SHORT / F.greatest(F.col("n_scored"), F.lit(1))))
     table = docs.sparkSession.createDataFrame([(lang, float(m), float(h)) for lang, (m, h) in found.items()], "lang string, middle double, half double")
